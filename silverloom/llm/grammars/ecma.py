@@ -18,7 +18,7 @@ PREFIX = frozenset("+ - ! ~ typeof void delete".split())
 ASSIGN = frozenset("= += -= *= /= %= **= &= |= ^= <<= >>= >>>= &&= ||= ??=".split())
 MODIFIERS = frozenset("public private protected readonly abstract declare override static accessor".split())
 
-_SKIP = re.compile(r"(?:[ \t\r\n\v\f\xa0﻿    -   　]+|//[^\n\r  ]*|/\*.*?\*/)*", re.S)
+_SKIP = re.compile(r"(?:[ \t\r\n\v\f\xa0﻿  -     　]+|//[^\n\r  ]*|/\*.*?\*/)*", re.S)
 _TOKEN = re.compile(
     r"""(?P<name>(?:[A-Za-z_$]|[^\x00-\x7F\W]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)
     | (?P<num>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:0|[1-9](?:_?[0-9])*)n
@@ -1645,7 +1645,7 @@ _TS_STATEMENTS = {"interface": _Ecma.interface, "type": _Ecma.alias, "namespace"
 def valid_ecma(text: str, ts: bool = False, jsx: bool = False) -> bool:
     """Whether ``text`` parses as a JavaScript module, or as TypeScript, with JSX if ``jsx``."""
     try:
-        _Ecma(text.removeprefix("﻿"), ts, jsx).module()
+        _Ecma(text.removeprefix("\ufeff"), ts, jsx).module()
     except (_Bad, RecursionError):
         return False
     return True

@@ -635,7 +635,7 @@ class _Go:
 def valid_go(text: str) -> bool:
     """Whether ``text`` parses as a Go source file."""
     try:
-        _Go(_tokens(text.removeprefix("﻿"))).file()
+        _Go(_tokens(text.removeprefix("\ufeff"))).file()
     except (_Bad, RecursionError, IndexError):
         return False
     return True

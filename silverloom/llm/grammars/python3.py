@@ -16,7 +16,7 @@ def valid_python(text: str) -> bool:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            compile(_STOP + text.removeprefix("﻿"), "<text>", "exec", dont_inherit=True)
+            compile(_STOP + text.removeprefix("\ufeff"), "<text>", "exec", dont_inherit=True)
         except SyntaxError as e:
             return str(e.msg).startswith(_STOPPED)
         except (ValueError, OverflowError, RecursionError, MemoryError):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silverloom.llm.mojibake import garbled
 from silverloom.llm.parsing import parse_rates, parsed_files
 from silverloom.llm.splitting import split_items
 
@@ -33,7 +34,15 @@ def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
     return parse_rates(parsed_files(_t(spark, sf, "file_events")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_verdicts, p4_rates)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled(_t(spark, sf, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled(_t(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_verdicts, p4_rates, p9_found, p9_restored)}
 
 ORACLE = {
     "p3_found": r"""
