@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silverloom.llm.mixing import mix_sources
 from silverloom.llm.mojibake import garbled
+from silverloom.llm.packing import pack_documents
 from silverloom.llm.parsing import parse_rates, parsed_files
+from silverloom.llm.provenance import classified, fit_on
 from silverloom.llm.splitting import split_items
 
 
@@ -42,7 +45,38 @@ def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
     return garbled(_t(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_verdicts, p4_rates, p9_found, p9_restored)}
+def p6_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    files = _t(spark, sf, "files")
+    model, _ = fit_on(files)
+    return classified(files, model)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_kinds(spark, sf).filter("kind <> 'hand'").select("file_id")
+
+
+def p7_assignments(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(_t(spark, sf, "documents"), _t(spark, sf, "pack_limits"))[0]
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(_t(spark, sf, "documents"), _t(spark, sf, "pack_limits"))[1]
+
+
+def p8_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[1]
+
+
+def p8_quotas(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[2]
+
+
+_ALL = (p3_found, p3_pieces, p4_found, p4_verdicts, p4_rates, p6_found, p6_kinds, p7_assignments, p7_containers, p8_drawn, p8_shares, p8_quotas, p9_found, p9_restored)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE = {
     "p3_found": r"""
