@@ -30,3 +30,22 @@ def nfc(c: Column) -> Column:
 def nfc_all(c: Column) -> Column:
     """NFC of every element of an array of strings."""
     return F.coalesce(_nfc_texts(F.when(F.exists(c, lambda x: x.rlike(NON_ASCII)), c)), c)
+
+
+@F.pandas_udf(T.StringType())
+def _strip_marks(s: pd.Series) -> pd.Series:
+    def strip(x: str) -> str:
+        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.category(c).startswith("M")))
+
+    return s.map(strip, na_action="ignore")
+
+
+def fold(c: Column) -> Column:
+    """Lower case without diacritics; only non-ASCII text travels to Python."""
+    low = F.lower(c)
+    return F.coalesce(_strip_marks(F.when(low.rlike(NON_ASCII), low)), low)
+
+
+def index_tokens(c: Column) -> Column:
+    """Tokens of the full-text index: runs of letters and digits of the folded text."""
+    return F.regexp_extract_all(fold(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
