@@ -30,7 +30,8 @@ STATE = "machine_id string, path string, sec long, event_id long, live boolean,
 def whole_seconds(t: Column) -> Column:
     """Moments as whole seconds, whatever unit (s, ms, us, ns) the watcher wrote."""
     size = F.abs(t)
-    return F.floor(t / F.when(size >= 10**17, 10**9).when(size >= 10**14, 10**6).when(size >= 10**11, 10**3).otherwise(1)).cast("long")
+    unit = F.when(size >= 10**17, 10**9).when(size >= 10**14, 10**6).when(size >= 10**11, 10**3).otherwise(1).cast("long")
+    return ((t - F.pmod(t, unit)) / unit).cast("long")  # exact, as the dividend is a multiple of the unit
 
 
 def effective_changes(events: DataFrame) -> DataFrame:

@@ -180,13 +180,21 @@ class OrphanLedger:
         return judged.select("ref", "tbl", "period", "orphan")
 
 
-def run_ledger(log: DataFrame, epoch: Column) -> tuple[OrphanLedger, DataFrame]:
-    """Applies a whole log in the order of its epochs (few: years or quarters). Gives the ledger and the judged references."""
+def run_ledger(log: DataFrame, epoch: Column, batches: int = 6) -> tuple[OrphanLedger, DataFrame]:
+    """Applies a whole log in the order of its epochs, neighbouring ones together until a batch holds a fair share of the rows. Gives the ledger and the judged references."""
     spark = log.sparkSession
     parts = staged(log.withColumn("epoch", epoch), "orphan-log", ["epoch"])
+    sizes = sorted(tuple(r) for r in parts.groupBy("epoch").count().collect())  # one row per epoch
+    least, ranges, held = sum(n for _, n in sizes) / batches, [], 0
+    for e, n in sizes:
+        if ranges and held < least:
+            ranges[-1][1], held = e, held + n
+        else:
+            ranges.append([e, e])
+            held = n
     ledger, judged = OrphanLedger(spark), None
-    for (e,) in sorted(tuple(r) for r in parts.select("epoch").distinct().collect()):
-        part = ledger.apply(parts.filter(F.col("epoch") == e), str(e))
+    for lo, hi in ranges:
+        part = ledger.apply(parts.filter(F.col("epoch").between(lo, hi)), str(hi))
         judged = part if judged is None else judged.unionByName(part)
     if judged is None:
         judged = spark.createDataFrame([], "ref long, tbl string, period string, orphan boolean")

@@ -36,6 +36,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
     """References, orphans when seen and orphans still pending at the end, per referenced table and month."""
     ledger, _ = _ledger(spark, sf)
+    if not ledger.snapshots:
+        return spark.createDataFrame([], "tbl string, period string, n_references long, n_orphans long, n_pending long")
     return ledger.snapshots[-1].select("tbl", "period", "n_references", "n_orphans", "n_pending")
 
 
