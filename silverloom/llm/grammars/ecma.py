@@ -50,7 +50,7 @@ class _Ecma:
         self.s, self.ts, self.jsx = src, ts, jsx
         self.in_fn = self.gen = False
         self.asyn = True  # await is a keyword at the top of a module
-        self.ambient = self.no_in = self.in_cond = self.no_cond_type = False
+        self.ambient = self.cover = self.no_in = self.in_cond = self.no_cond_type = False
         self.arrows: dict[int, bool] = {}
         self.end = 0
         self.goto(0)
@@ -129,14 +129,14 @@ class _Ecma:
 
     def attempt(self, f, *args) -> bool:
         """Runs ``f``; if it fails or gives False, everything is as before."""
-        state, flags = self.save(), (self.in_fn, self.gen, self.asyn, self.no_in, self.in_cond, self.no_cond_type)
+        state, flags = self.save(), (self.in_fn, self.gen, self.asyn, self.no_in, self.in_cond, self.no_cond_type, self.cover)
         try:
             if f(*args) is not False:
                 return True
         except _Bad:
             pass
         self.load(state)
-        self.in_fn, self.gen, self.asyn, self.no_in, self.in_cond, self.no_cond_type = flags
+        self.in_fn, self.gen, self.asyn, self.no_in, self.in_cond, self.no_cond_type, self.cover = flags
         return False
 
     # --- statements
@@ -1101,7 +1101,16 @@ class _Ecma:
         return target
 
     def assign(self) -> bool:
-        """True if the expression may stand on the left of an assignment."""
+        """True if the expression may stand on the left of an assignment. Names with a default must have become part of a pattern."""
+        outer, self.cover = self.cover, False
+        target = self.part()
+        if self.cover and not (target and self.tok in ("of", "in")):
+            raise _Bad
+        self.cover = outer
+        return target
+
+    def part(self) -> bool:
+        """The same inside of an array or object literal, which may become a pattern as a whole."""
         if self.kind == "name":
             if self.tok == "yield" and self.gen:
                 self.goto(self.end)
@@ -1152,6 +1161,7 @@ class _Ecma:
         if tok in ASSIGN and self.kind == "op":
             if not target or target == 3 and tok != "=":
                 raise _Bad
+            self.cover = self.cover and target != 3
             self.goto(self.end)
             self.assign()
             return False
@@ -1460,7 +1470,7 @@ class _Ecma:
                 self.goto(self.end)
                 continue
             self.take("...")
-            self.assign()
+            self.part()
             if not self.op("]"):
                 self.need(",")
         self.no_in, self.in_cond = no_in, cond
@@ -1469,22 +1479,18 @@ class _Ecma:
     def object(self) -> None:
         self.goto(self.end)
         no_in, self.no_in, cond, self.in_cond = self.no_in, False, self.in_cond, False
-        defaults = False
         while not self.op("}"):
             if self.tok == "..." and self.kind == "op":
                 self.goto(self.end)
-                self.assign()
+                self.part()
             else:
-                defaults = self.property() or defaults
+                self.property()
             if not self.op("}"):
                 self.need(",")
         self.no_in, self.in_cond = no_in, cond
         self.goto(self.end)
-        if defaults and not (self.op("=") or self.tok in ("of", "in", "}", "]", ",", ")")):
-            raise _Bad
 
-    def property(self) -> bool:
-        """True for a name with a default, which is allowed in a pattern only."""
+    def property(self) -> None:
         asyn = gen = accessor = False
         if self.kind == "name" and self.tok in ("async", "get", "set"):
             tok, state = self.tok, self.save()
@@ -1499,21 +1505,19 @@ class _Ecma:
         plain, tok = self.kind == "name", self.tok
         self.key()
         if self.op("(") or (self.ts and self.op("<")):
-            self.callable_in_object(asyn, gen)
-            return False
+            return self.callable_in_object(asyn, gen)
         if asyn or gen or accessor:
             raise _Bad
         if self.op(":"):
             self.goto(self.end)
-            self.assign()
-            return False
+            self.part()
+            return
         if not plain or tok in RESERVED or self.bad_name(tok):
             raise _Bad
-        if self.op("="):
+        if self.op("="):  # allowed in a pattern only
             self.goto(self.end)
             self.assign()
-            return True
-        return False
+            self.cover = True
 
     def callable_in_object(self, asyn: bool, gen: bool) -> None:
         self.callable(asyn, gen)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 PAGES = ("western", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp1254", "cp1253", "cp866", "koi8_r", "iso8859_2")
 #: Relative frequency (in thousandths) of the letters of Russian text.
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 1, 1)))
+SHORT = frozenset("и в с к о у а я на по не до от из за но об ко со во же бы ли".split())
 CYRILLIC_PAGES = ("cp1251", "koi8_r", "cp866", "mac_cyrillic", "iso8859_5")
 
 _QUOTED = re.compile(r"`[^`\n]{1,60}`")
@@ -78,17 +79,18 @@ _ONE_SCRIPT = re.compile(r"(?:[Ё-џҐґ\u2010-\u2026№«»]{2,}|[\u0386-\u03ce
 _CYRILLIC = re.compile(r"[Ѐ-џ]")
 
 
-def _decode_span(text: str, a: int, b: int, page: str) -> str | None:
-    """What the span text[a:b] decodes to, or None if it is sound text that only looks like bytes."""
+def _decode_span(text: str, a: int, b: int, page: str, sure: bool = False) -> str | None:
+    """What the span text[a:b] decodes to, or None if it is sound text that only looks like bytes. ``sure``: other spans of the text were garbled under the same page."""
     span, chars = text[a:b], byte_of(page)
     out = bytes(chars[c] for c in span).decode("utf-8")
     western = _WESTERN_OUT.match(out)
-    if not western and not (len(out) >= 2 and _OTHER_OUT.match(out)):
+    if not western and not (len(out) >= (1 if sure else 2) and _OTHER_OUT.match(out)):
         return None
     if page != "western" and any("\x80" <= c <= "\x9f" for c in out):
         return None
     before, after = text[a - 1 : a], text[b : b + 1]
-    if _BOX.match(span) and not (out.isalpha() and (before.isalpha() and before.isascii() or after.isalpha() and after.isascii())):
+    drawn = _BOX.match(before) or _BOX.match(after)
+    if _BOX.match(span) and not (sure and western and not drawn) and not (out.isalpha() and (before.isalpha() and before.isascii() or after.isalpha() and after.isascii())):
         return None  # a drawing
     if page in ("cp1251", "cp866", "koi8_r"):
         if _CYRILLIC.match(before) or _CYRILLIC.match(after):
@@ -111,15 +113,22 @@ def _undo_utf8(text: str, page: str) -> tuple[str, int]:
     if not (there & leads and there & tails):
         return text, 0
 
+    sure = False
+
     def put(m: re.Match) -> str:
         nonlocal hits
-        out = _decode_span(text, m.start(), m.end(), page)
+        out = _decode_span(text, m.start(), m.end(), page, sure)
         if out is None:
             return m[0]
         hits += len(out)
         return out
 
-    return utf8_spans(page).sub(put, text), hits
+    spans = utf8_spans(page)
+    got = spans.sub(put, text)
+    if hits >= 3 and got != text:
+        sure, hits = True, 0
+        got = spans.sub(put, text)
+    return got, hits
 
 
 # --- UTF-8 read as an East Asian encoding: the bytes of whole runs of ideographs
@@ -281,6 +290,31 @@ def _russian(words: list[str]) -> float:
     return total / n if n else 0.0
 
 
+def _reread(text: str, pattern: re.Pattern, better: set[str], chars: dict[str, int], right: str) -> str:
+    """Re-reads the stretches around the words of ``better``, up to the next word that is sound as it stands."""
+    runs = list(re.finditer(pattern.pattern.replace("{3,}", "+"), text))
+
+    def read(w: str) -> str | None:
+        return bytes(chars[c] for c in w).decode(right, "replace") if all(c in chars for c in w) else None
+
+    def plain(w: str | None) -> bool:
+        return w is not None and (w.islower() or w.istitle()) and all(c.lower() in RUSSIAN for c in w)
+
+    mine = [m[0] in better for m in runs]
+    sound = [not mine[i] and (not plain(read(m[0])) or m[0].lower() in SHORT or (len(m[0]) > 2 and plain(m[0]) and _russian([m[0]]) >= 38)) for i, m in enumerate(runs)]
+    for order in (range(1, len(runs)), range(len(runs) - 2, -1, -1)):
+        step = 1 if order.step > 0 else -1
+        for i in order:
+            mine[i] = mine[i] or (mine[i - step] and not sound[i])
+    out, at = [], 0
+    for m, take in zip(runs, mine):
+        w = read(m[0]) if take else None
+        if w is not None and "�" not in w:
+            out += [text[at : m.start()], w]
+            at = m.end()
+    return "".join([*out, text[at:]])
+
+
 def _undo_cyrillic(text: str) -> tuple[str, int]:
     """Re-reads the words that become Russian by it; at least two words and twelve letters."""
     best = (text, 0, 0.0)
@@ -299,14 +333,13 @@ def _undo_cyrillic(text: str) -> tuple[str, int]:
                 if right == wrong or not fit:
                     continue
                 done = {w: bytes(chars[c] for c in w).decode(right, "replace") for w in set(fit)}
-                better = [w for w in fit if _russian([done[w]]) > before[w] + 15]
+                better = [w for w in fit if _russian([done[w]]) > before[w] + 15 and all(c.lower() in RUSSIAN for c in done[w])]
                 size = sum(map(len, better))
                 if len(better) < 2 or size < 12:
                     continue
                 was, now = _russian(better), _russian([done[w] for w in better])
                 if now > 46 and was < 30 and size * (now - was) > best[2]:
-                    these = {w: done[w] for w in better}
-                    best = (pattern.sub(lambda m: these.get(m[0], m[0]), text), size, size * (now - was))
+                    best = (_reread(text, pattern, set(better), chars, right), size, size * (now - was))
     return best[0], best[1]
 
 
@@ -348,10 +381,10 @@ def _undo_central(text: str) -> tuple[str, int]:
 _LEFT = re.compile(
     "�|[\x80-\x84\x86-\x9f]|\xef\xbb\xbf"  # cannot stand in any text
     "|\xe2{2,}(?=[ \n]|\\Z)|(?:\xe2 ){2,}"  # drawings whose continuation bytes were lost
-    "|[\xe3\xe2][\xa1-\xac\xae-\xba\xbc-\xbf‚„†-•ˆ‰‹›˜™šœž]"
+    "|[\xe3\xe2][\xa1-\xa9\xab\xac\xae\xaf\xb1\xb4-\xb8\xbc-\xbf€]"  # a lead byte in lower case
     "|\\b\xc3(?=[a-z]{2})|(?<=[a-z])\xc3(?=[a-z ,.])"  # a capital letter whose second byte was lost
 )
-_LOWER = re.compile("[\xe3\xe2\xe4\xe5](?:[\xa1-\xbf‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ€])+")
+_LOWER = re.compile("[\xe3\xe2\xe4\xe5][\xa1-\xac\xae-\xba\xbc-\xbfƒ†‡ˆ‰ŠŒŽ˜™šœžŸ€][\xa1-\xbf‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ€]*")
 
 
 def _lift(m: re.Match) -> str:
@@ -360,12 +393,13 @@ def _lift(m: re.Match) -> str:
 
 def _references(text: str) -> str:
     """Runs of character references that stand for garbled text become characters; other references stay."""
-
-    def put(m: re.Match) -> str:
-        chars = html.unescape(m[0])
-        return chars if _undo_utf8(chars, "western")[1] or _LEFT.search(chars) else m[0]
-
-    return _REFS.sub(put, text) if "&" in text else text
+    if "&" not in text:
+        return text
+    runs = {m[0]: html.unescape(m[0]) for m in _REFS.finditer(text)}
+    bad = {r for r, chars in runs.items() if _undo_utf8(chars, "western")[1] or _LEFT.search(chars)}
+    if bad:
+        bad |= {r for r, chars in runs.items() if utf8_spans("western").fullmatch(chars)}
+    return _REFS.sub(lambda m: runs[m[0]] if m[0] in bad else m[0], text)
 
 
 def repair(text: str) -> tuple[bool, str | None]:
@@ -399,7 +433,7 @@ def repair(text: str) -> tuple[bool, str | None]:
                 got, hits = undo(now)
                 if hits:
                     tries.append((hits, -40, got))
-        if not tries and _LOWER.search(now):
+        if not tries and len(_LOWER.findall(now)) > 1:
             lifted = _LOWER.sub(_lift, now)
             got, hits = _undo_utf8(lifted, "western")
             if hits:

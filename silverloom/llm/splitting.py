@@ -7,13 +7,13 @@ search over all boundaries of a batch of items, and the successor table is squar
 marks whom its 1st, 2nd, 4th ... successor is, so that all cuts of all items are known after log2(longest chain) rounds.
 
 Boundaries are line ends; a line end before a blank or less indented line is a block end. A piece ends at the farthest block end in
-the second half of its window, else at the farthest line end, else after exactly ``limit`` characters. Lines longer than limit - overlap get
+the second half of its window, else at the farthest line end that leaves it longer than the overlap, else at the farthest hard boundary. Lines longer than limit - overlap get
 hard boundaries at this distance, so that every boundary has a successor. A piece begins at the first line start among
 the last ``overlap`` characters of the piece before, or exactly ``overlap`` characters back if no line starts there.
 
 Defined cases: null content gives no item; an entity counts with both line numbers, 1 <= start <= end, start within the lines, and
 non-blank text; repeated entities are items of their own; CRLF, LF and CR end lines, a final one starts no new line;
-items up to the limit are no rows of ``found`` and one piece of ``pieces``; further columns are ignored.
+items up to the limit are no rows of ``found`` and one piece of ``pieces`` (an empty one if the text is empty); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def cuts(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> list[l
     block, natural = _last(kind == 2)[reach], _last(kind > 0)[reach]
     own = np.arange(n)
     good_block = (block > own) & (at[np.maximum(block, 0)] >= begin + limit // 2)
-    succ = np.where(natural > own, natural, reach)
+    succ = np.where((natural > own) & (at[np.maximum(natural, 0)] > begin + overlap), natural, reach)
     succ = np.where(good_block, block, succ)
     succ = np.where(at[final] - begin <= limit, final, succ)
     succ[base[1:] - 1] = base[1:] - 1
