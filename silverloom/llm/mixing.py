@@ -4,7 +4,8 @@ The total is the largest for which every source can give its share without using
 blocks of equally many tokens, which the Sainte-Lague rule allots to the sources by highest quotients; as this rule never takes back
 a block when the total grows, the allotments of growing totals differ by whole numbers, the quotas of the shards. Every source puts its
 texts into a seeded order; its blocks are stretches of this order, passed through again for each further use, and the first blocks up to the
-quota are drawn. A text is drawn if it ends within the quota; what then is missing is filled by the one further text that comes nearest.
+quota are drawn. A text is drawn if it ends within the quota; what then is missing is filled by a few further texts (``FILL`` at most), each the
+longest that fits, the last the one that comes nearest.
 
 The running token count of a source is built from totals per hash bucket and running counts within the buckets, so that a source
 with a third of all texts is spread over many tasks.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from silverloom.llm.tokens import TOKENIZER, sized
 from silverloom.session import staged
 
-BLOCK_TOKENS = 512
+BLOCK_TOKENS, FILL = 512, 5
 
 
 def clean_source(c: Column) -> Column:
@@ -100,21 +101,23 @@ def mix_sources(
         .select("doc_id", "source", "n_tokens", "h", "quota", "most", F.least(F.col("most"), F.greatest(F.lit(0), uses)).cast("int").alias("n_draws")),
         "mix-counted",
     )
-    missing = counted.groupBy("source").agg((F.first("quota") - F.sum(F.col("n_tokens") * F.col("n_draws"))).alias("missing"))
-    off = F.abs(F.col("missing") - F.col("n_tokens"))
-    further = (
-        counted.filter("n_draws < most")
-        .join(F.broadcast(missing), "source")
-        .filter(off < F.col("missing"))
-        .groupBy("source")
-        .agg(F.min(F.struct(off.alias("off"), "h", "doc_id")).alias("best"))
-        .select("source", F.col("best.doc_id").alias("doc_id"), F.lit(1).alias("more"))
-    )
-    drawn = (
-        counted.join(F.broadcast(further), ["source", "doc_id"], "left")  # one row per target
-        .select("doc_id", "source", "n_tokens", (F.col("n_draws") + F.coalesce("more", F.lit(0))).alias("n_draws"))
-        .filter("n_draws > 0")
-    )
+    missing = {r[0]: r[1] for r in counted.groupBy("source").agg(F.first("quota") - F.sum(F.col("n_tokens") * F.col("n_draws"))).collect()}  # one row per target
+    picked: dict[str, list] = {s: [] for s in missing}
+    for turn in range(FILL):
+        open_ = {s: m for s, m in missing.items() if m > 0}
+        if not open_:
+            break
+        gap = F.create_map(*[F.lit(x) for pair in open_.items() for x in pair])[F.col("source")]
+        off = F.abs(gap - F.col("n_tokens"))
+        fits = (off < gap) if turn == FILL - 1 else (F.col("n_tokens") <= gap)
+        taken = [d for ds in picked.values() for d in ds]
+        rest = counted.filter((F.col("n_draws") < F.col("most")) & fits & (F.col("n_tokens") > 0) & ~F.col("doc_id").isin(taken))
+        best = rest.groupBy("source").agg(F.min(F.struct(off.alias("off"), "h", "doc_id", "n_tokens")).alias("b")).select("source", "b.doc_id", "b.n_tokens").collect()
+        for source_, doc, n in best:
+            picked[source_].append(doc)
+            missing[source_] -= n
+    more = F.col("doc_id").isin([d for ds in picked.values() for d in ds]).cast("int")
+    drawn = counted.select("doc_id", "source", "n_tokens", (F.col("n_draws") + F.coalesce(more, F.lit(0))).alias("n_draws")).filter("n_draws > 0")
     drawn = staged(drawn, "mix-drawn")
     got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_draws")).alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"), F.sum("n_draws").alias("n_draws"))
     aims = spark.createDataFrame([(s, share) for s, (share, _) in want.items()], "source string, target_share double")
