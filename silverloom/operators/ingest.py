@@ -103,7 +103,7 @@ IGNORED_ENDINGS = (".log", ".tmp", ".swp", ".swo", ".DS_Store")
 def ignored(path: Column) -> Column:
     """Whether a path (relative to its root) is never watched."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    return F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED))) | F.coalesce(F.element_at(parts, -1).rlike("(" + "|".join(e.replace(".", "\\.") for e in IGNORED_ENDINGS) + ")$"), F.lit(False))
+    return F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED))) | F.coalesce(F.try_element_at(parts, F.lit(-1)).rlike("(" + "|".join(e.replace(".", "\\.") for e in IGNORED_ENDINGS) + ")$"), F.lit(False))
 
 
 def longest_prefix(paths: DataFrame, roots: DataFrame) -> DataFrame:

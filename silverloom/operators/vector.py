@@ -101,7 +101,7 @@ def with_cells(rows: DataFrame, centroids: np.ndarray, n: int, key: str) -> Data
     return rows.filter("embedding IS NOT NULL").select(key, "embedding").mapInArrow(run, rows.select(key, "embedding").schema.add("cell", "integer"))
 
 
-def index_top_k(points: DataFrame, queries: DataFrame, k: int = 10, cells: int = 32, probes: int = 16, salt: int = 8) -> DataFrame:
+def index_top_k(points: DataFrame, queries: DataFrame, k: int = 10, cells: int = 32, probes: int = 22, salt: int = 8) -> DataFrame:
     """As ``exact_top_k``, by way of the index."""
     centroids = fit_centroids(points, cells)
     left = with_cells(points, centroids, 1, "vec_id").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salt)).cast("int"))
