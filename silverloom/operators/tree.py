@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LINES = 300
@@ -20,43 +20,34 @@ def tree_paths(files: DataFrame) -> DataFrame:
 
 
 def _draw(pdf: pd.DataFrame) -> str:
-    root: dict = {}
-    for path in pdf["path"]:
-        node = root
-        for part in path.split("/"):
-            node = node.setdefault(part, {})
+    """The first lines of a project: nodes in drawing order, with whether each is the last of its folder."""
     lines: list[str] = []
-    stack = [(root, "")]
-
-    def walk(node: dict, indent: str) -> None:
-        order = sorted(node, key=lambda name: (len(node[name]) > 0, name))
-        for name in order:
-            last = name == order[-1]
-            lines.append(indent + ("└── " if last else "├── ") + name + ("/" if node[name] else ""))
-            if node[name] and len(lines) <= MAX_LINES:
-                walk(node[name], indent + ("    " if last else "│   "))
-
-    for node, indent in stack:
-        walk(node, indent)
+    last: dict[str, bool] = {}
+    for path, is_dir, is_last in pdf.sort_values("key")[["path", "is_dir", "is_last"]].itertuples(index=False):
+        parts = path.split("/")
+        above = ["/".join(parts[:n]) for n in range(1, len(parts))]
+        lines.append("".join("    " if last[a] else "│   " for a in above) + ("└── " if is_last else "├── ") + parts[-1] + ("/" if is_dir else ""))
+        last[path] = is_last
     return "\n".join([*lines[:MAX_LINES], "[truncated]"] if len(lines) > MAX_LINES else lines)
 
 
 def render_trees(paths: DataFrame) -> DataFrame:
     """(machine_id, project, tree): the drawing of each project, at most 300 lines.
 
-    Only the nodes that can appear among the first lines reach the drawing task: the first 300 names of every directory.
+    A node's sort key puts the tree into drawing order (files before folders, then by name), so that only the first 301 nodes of
+    a project reach the task that draws it, however large the project is.
     """
-    from pyspark.sql import Window
-
-    depth = F.size(F.split("path", "/"))
-    parent = F.when(depth > 1, F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
-    rank = F.row_number().over(Window.partitionBy("machine_id", "project", "parent").orderBy("is_dir", "path"))
-    some = paths.withColumn("parent", parent).withColumn("r", rank).filter(F.col("r") <= MAX_LINES + 1)
-    order = F.row_number().over(Window.partitionBy("machine_id", "project").orderBy(depth, "path"))
-    some = some.withColumn("o", order).filter(F.col("o") <= 50 * MAX_LINES)
+    parts = F.split("path", "/")
+    above = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.concat(F.lit("1"), p, F.lit("\u0001")))
+    key = F.concat(F.array_join(above, ""), F.when(F.col("is_dir"), "1").otherwise("0"), F.element_at(parts, -1), F.when(F.col("is_dir"), "\u0001").otherwise(""))
+    nodes = paths.select("machine_id", "project", "path", "is_dir", key.alias("key"), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("parent"))
+    rank = F.row_number().over(Window.partitionBy("machine_id", "project").orderBy("key"))
+    first = nodes.withColumn("r", rank).filter(F.col("r") <= MAX_LINES + 1)
+    ends = nodes.groupBy("machine_id", "project", "parent").agg(F.max("key").alias("end"))
+    drawn = first.join(ends, ["machine_id", "project", "parent"]).withColumn("is_last", F.col("key") == F.col("end"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        return pd.DataFrame({"machine_id": [first["machine_id"]], "project": [first["project"]], "tree": [f"{first['project']}/\n{_draw(pdf)}"]})
+        head = pdf.iloc[0]
+        return pd.DataFrame({"machine_id": [head["machine_id"]], "project": [head["project"]], "tree": [f"{head['project']}/\n{_draw(pdf)}"]})
 
-    return some.groupBy("machine_id", "project").applyInPandas(draw, "machine_id string, project string, tree string")
+    return drawn.groupBy("machine_id", "project").applyInPandas(draw, "machine_id string, project string, tree string")

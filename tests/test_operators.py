@@ -141,3 +141,12 @@ def test_tree(spark):
     many = spark.range(1000).select(F.lit("m").alias("machine_id"), F.lit("p").alias("project"), F.format_string("/p/f%04d", "id").alias("file_path"))
     lines = tree.render_trees(tree.tree_paths(many)).first().tree.split("\n")
     assert len(lines) == 302 and lines[-1] == "[truncated]"
+
+
+def test_deep_tree_behind_many_names(spark):
+    """The first lines are exact although thousands of nodes lie nearer to the root."""
+    deep = [("m", "p", "/p/a/" + "/".join("d" * (k + 1) for k in range(20)) + "/f.go")]
+    wide = [("m", "p", f"/p/z{i:05}/x") for i in range(3000)]
+    files = spark.createDataFrame(deep + wide, "machine_id string, project string, file_path string")
+    lines = tree.render_trees(tree.tree_paths(files)).first().tree.split("\n")
+    assert lines[1] == "├── a/" and lines[2] == "│   └── d/" and lines[22].endswith("└── f.go") and lines[23] == "├── z00000/" and lines[24] == "│   └── x" and len(lines) == 302
