@@ -78,3 +78,26 @@ def emitted_ticks(digests: DataFrame, every: int = 24) -> DataFrame:
 
     before = F.lag("digest").over(Window.orderBy("tick"))
     return digests.withColumn("b", before).filter(F.col("b").isNull() | (F.col("b") != F.col("digest")) | (F.col("tick") % every == 0)).select("tick", "digest")
+
+
+def upsert_jobs(jobs: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:
+    """Jobs (machine_id, project, path, content_hash, state, attempt_count, next_attempt_at) after new requests: a job starts anew only if its content changed."""
+    n = new.select("machine_id", "project", "path", F.col("content_hash").alias("__sl_hash")).dropDuplicates(["machine_id", "project", "path"]).withColumn("__sl_new", F.lit(True))
+    j = jobs.join(n, ["machine_id", "project", "path"], "full_outer")
+    reset = F.col("__sl_new").isNotNull() & ~F.col("__sl_hash").eqNullSafe(F.col("content_hash")) | F.col("state").isNull()
+    return j.select(
+        "machine_id", "project", "path", F.when(reset, F.col("__sl_hash")).otherwise(F.col("content_hash")).alias("content_hash"), F.when(reset, "pending").otherwise(F.col("state")).alias("state"),
+        F.when(reset, 0).otherwise(F.col("attempt_count")).alias("attempt_count"), F.when(reset, F.lit(now_ms).cast("long")).otherwise(F.col("next_attempt_at")).alias("next_attempt_at"),
+    )
+
+
+def settle(jobs: DataFrame, reports: DataFrame) -> DataFrame:
+    """(job_id, outcome) of reports (job_id, lease_version, outcome "done" or "release"); "stale" if the lease is not current."""
+    r = reports.select("job_id", F.col("lease_version").alias("__sl_lease"), "outcome")
+    current = (F.col("state") == "running") & (F.col("lease_version") == F.col("__sl_lease"))
+    return r.join(jobs, "job_id", "left").select("job_id", F.when(F.coalesce(current, F.lit(False)), F.col("outcome")).otherwise("stale").alias("outcome"))
+
+
+def drop_deleted(jobs: DataFrame, deletes: DataFrame) -> DataFrame:
+    """Jobs but for those of deleted or renamed paths (machine_id, path)."""
+    return jobs.join(deletes.select("machine_id", "path").distinct(), ["machine_id", "path"], "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from silverloom.functions.extraction import embedded, extract
 from silverloom.functions.text import nfc
-from silverloom.operators import ingest, jobs, stats
+from silverloom.operators import graph, ingest, jobs, stats, store
 from silverloom.operators.changefeed import FileTable, whole_seconds
 from silverloom.session import new_folder, staged
 from silverloom.sources.files import dequeue, outbox_events
@@ -81,6 +81,82 @@ def vector_lag(spark: SparkSession, sf: str) -> DataFrame:
     return stats.vector_lag(_t(spark, sf, "embeddings"), _t(spark, sf, "entities").filter("removed_at IS NULL"))
 
 
+def health_report(spark: SparkSession, sf: str) -> DataFrame:
+    return store.health(_t(spark, sf, "embeddings"), _t(spark, sf, "entities").filter("removed_at IS NULL"))
+
+
+def scoped_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Files and distinct paths of one machine and project."""
+    f = store.scoped(_t(spark, sf, "files"), "wren-1", "lattice-core")
+    return f.agg(F.count(F.lit(1)).alias("n_files"), F.count_distinct("file_path").alias("n_paths"))
+
+
+def ordered_files(spark: SparkSession, sf: str) -> DataFrame:
+    return store.ordered_scan(_t(spark, sf, "files"), ["wren-1", "lynx-2"]).select("machine_id", "project", "file_path", "file_id")
+
+
+def hash_preload(spark: SparkSession, sf: str) -> DataFrame:
+    return store.known_hashes(_t(spark, sf, "files"))
+
+
+def fts_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """The token index of the rows before a day, after the files since then replaced theirs, per term."""
+    f = _t(spark, sf, "files").select("machine_id", "file_path", "content", "updated_at", "file_id")
+    last = lambda d: graph.last_by(d, ["machine_id", "file_path"], ["updated_at", "file_id"])
+    old, new = last(f.filter("updated_at < '2025-10-01'")), last(f.filter("updated_at >= '2025-10-01'"))
+    synced = store.sync_tokens(store.token_rows(old), new)
+    return synced.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_tokens"))
+
+
+def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors under ids that repeat: the later row replaces the earlier, then those of one label are deleted."""
+    e = _t(spark, sf, "embeddings").select((F.col("vec_id") % 97).alias("id"), "vec_id", "label")
+    old, new = graph.last_by(e.filter("label < 5"), ["id"], ["vec_id"]), graph.last_by(e.filter("label >= 5"), ["id"], ["vec_id"])
+    return store.overwrite(old, new, ["id"]).filter("label <> 2")
+
+
+def query_cache_keys(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents")
+    return d.select("doc_id", store.cache_key(F.lit("hash"), F.lit("v1"), F.col("source")).alias("cache_key"))
+
+
+def cached_embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings of the sources as queries, half of them from the cache."""
+    d = _t(spark, sf, "documents").filter("source IS NOT NULL").select("doc_id", "source")
+    q = d.select(F.col("doc_id").alias("qid"), store.cache_key(F.lit("hash"), F.lit("v1"), F.col("source")).alias("cache_key"), F.col("source").alias("query"))
+    first = q.filter("qid % 2 = 0").groupBy("cache_key").agg(F.min("query").alias("query"))
+    found, _ = store.cached_embeddings(embedded(first, "cache_key", "query", "search_query: "), q)
+    return found.select("qid", F.size("embedding").alias("dim"))
+
+
+def chunk_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Vector rows of all last contents of the change feed."""
+    e = ingest.clean_events(_t(spark, sf, "file_events"))
+    last = graph.last_by(e.filter(F.col("event_type").isin("CREATE", "MODIFY") & F.col("content").isNotNull()), ["machine_id", "path"], ["sec", "event_id"])
+    return store.chunk_points(last).select("id", "entity", "chunk_no", "start_line", "end_line")
+
+
+def jobs_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs of the stored Go files, after the change feed asked for its Go files."""
+    f = graph.last_by(_t(spark, sf, "files").select("machine_id", "project", F.col("file_path").alias("path"), "content_hash", "updated_at", "file_id").filter("path LIKE '%.go' AND project IS NOT NULL"), ["machine_id", "project", "path"], ["updated_at", "file_id"])
+    old = f.select("machine_id", "project", "path", "content_hash", F.lit("dead").alias("state"), F.lit(4).alias("attempt_count"), F.lit(1).cast("long").alias("next_attempt_at"))
+    e = _t(spark, sf, "file_events").filter("path LIKE '%.go' AND content_hash IS NOT NULL AND content IS NOT NULL AND project IS NOT NULL")
+    new = graph.last_by(e.select("machine_id", "project", "path", "content_hash", "delivery_id"), ["machine_id", "project", "path"], ["delivery_id"])
+    return jobs.upsert_jobs(old, new, NOW_MS)
+
+
+def jobs_settle(spark: SparkSession, sf: str) -> DataFrame:
+    j = _jobs(spark, sf)
+    reports = j.select("job_id", (F.col("lease_version") + F.when(F.col("job_id") % 4 == 0, 1).otherwise(0)).alias("lease_version"), F.when(F.col("job_id") % 2 == 0, "done").otherwise("release").alias("outcome"))
+    return jobs.settle(j, reports)
+
+
+def log_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Ticks of a day to report, where a tick's digest is its number of error events."""
+    ticks = _t(spark, sf, "events").groupBy(F.hour("ts").alias("tick")).agg((F.floor(F.count_if(F.col("event_type") == "error") / 100)).cast("string").alias("digest"))
+    return jobs.emitted_ticks(ticks)
+
+
 def outbox_scan(spark: SparkSession, sf: str) -> DataFrame:
     """All events of all messages."""
     e = outbox_events(_t(spark, sf, "queue_events"))
@@ -131,7 +207,8 @@ def stream_type_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    transient_errors, state_counts, error_classes, reconcile_digest, jobs_claim_due, jobs_fail_backoff, jobs_replay_candidates, jobs_auto_replay, stats_scoped, latency_percentiles_lastN, vector_lag,
+    transient_errors, state_counts, error_classes, reconcile_digest, jobs_claim_due, jobs_fail_backoff, jobs_replay_candidates, jobs_auto_replay, stats_scoped, latency_percentiles_lastN, vector_lag, health_report,
+    scoped_counts, ordered_files, hash_preload, fts_sync, vector_upsert, query_cache_keys, cached_embedding_lookup, chunk_points, jobs_upsert, jobs_settle, log_dedup,
     outbox_scan, outbox_dequeue, extract_relations, embed_chunks, stream_fold, stream_skip_unchanged, stream_type_counts,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -162,6 +239,28 @@ ORACLE = {
     "latency_percentiles_lastN": """WITH e AS (SELECT CASE WHEN event_type IN ('click', 'view', 'signup') THEN event_type ELSE '_other_' END AS route, value AS ms, row_number() OVER (PARTITION BY CASE WHEN event_type IN ('click', 'view', 'signup') THEN event_type ELSE '_other_' END ORDER BY ts DESC, event_id DESC) AS rn FROM events)
 SELECT route, count(*) AS n, round(quantile_disc(ms, 0.5), 3) AS p50_ms, round(quantile_disc(ms, 0.95), 3) AS p95_ms, round(quantile_disc(ms, 0.99), 3) AS p99_ms FROM e WHERE rn <= 1000 GROUP BY 1""",
     "vector_lag": "SELECT a AS n_points, b AS n_entities, round(a / b, 6) AS vector_lag_ratio FROM (SELECT count(*) AS a FROM embeddings), (SELECT count(*) AS b FROM entities WHERE removed_at IS NULL)",
+    "health_report": """SELECT a AS n_points, b AS n_entities, round(a / b, 6) AS vector_lag_ratio, CASE WHEN b = 0 THEN 'no entities' WHEN a = 0 THEN 'no vectors; vectors lag behind' WHEN a / b < 0.5 THEN 'vectors lag behind' ELSE '' END AS issues
+FROM (SELECT count(*) AS a FROM embeddings), (SELECT count(*) AS b FROM entities WHERE removed_at IS NULL)""",
+    "scoped_counts": "SELECT count(*) AS n_files, count(DISTINCT file_path) AS n_paths FROM files WHERE machine_id = 'wren-1' AND project = 'lattice-core'",
+    "ordered_files": "SELECT machine_id, project, file_path, file_id FROM files WHERE machine_id NOT IN ('wren-1', 'lynx-2')",
+    "hash_preload": "SELECT machine_id, file_path, content_hash FROM files WHERE content_hash IS NOT NULL",
+    "fts_sync": """WITH a AS (SELECT *, row_number() OVER (PARTITION BY machine_id, file_path, updated_at >= '2025-10-01' ORDER BY updated_at DESC, file_id DESC) AS rn FROM files),
+b AS (SELECT *, row_number() OVER (PARTITION BY machine_id, file_path ORDER BY updated_at >= '2025-10-01' DESC) AS k FROM a WHERE rn = 1 AND updated_at IS NOT NULL),
+c AS (SELECT * FROM b WHERE k = 1),
+t AS (SELECT file_id, 0 AS field, unnest(regexp_extract_all(strip_accents(lower(file_path)), '[\\p{L}\\p{N}]+')) AS term FROM c UNION ALL SELECT file_id, 1, unnest(regexp_extract_all(strip_accents(lower(coalesce(content, ''))), '[\\p{L}\\p{N}]+')) FROM c)
+SELECT field, term, count(DISTINCT file_id) AS n_files, count(*) AS n_tokens FROM t GROUP BY 1, 2""",
+    "vector_upsert": """WITH e AS (SELECT vec_id % 97 AS id, vec_id, label FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY label >= 5 DESC, vec_id DESC) AS rn FROM e)
+SELECT id, vec_id, label FROM r WHERE rn = 1 AND label <> 2""",
+    "query_cache_keys": "SELECT doc_id, sha256(concat_ws(':', 'hash', 'v1', 'query', trim(source))) AS cache_key FROM documents",
+    "cached_embedding_lookup": "SELECT doc_id AS qid, CAST(64 AS INTEGER) AS dim FROM documents WHERE source IS NOT NULL",
+    "jobs_upsert": """WITH f AS (SELECT machine_id, project, file_path AS path, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY machine_id, project, file_path ORDER BY updated_at DESC NULLS LAST, file_id DESC) AS rn FROM files WHERE file_path LIKE '%.go' AND project IS NOT NULL) WHERE rn = 1),
+n AS (SELECT machine_id, project, path, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY machine_id, project, path ORDER BY delivery_id DESC) AS rn FROM file_events WHERE path LIKE '%.go' AND content_hash IS NOT NULL AND content IS NOT NULL AND project IS NOT NULL) WHERE rn = 1),
+j AS (SELECT coalesce(f.machine_id, n.machine_id) AS machine_id, coalesce(f.project, n.project) AS project, coalesce(f.path, n.path) AS path, f.content_hash AS old_hash, n.content_hash AS new_hash, f.path IS NULL OR (n.path IS NOT NULL AND n.content_hash IS DISTINCT FROM f.content_hash) AS reset
+  FROM f FULL JOIN n ON f.machine_id = n.machine_id AND f.project = n.project AND f.path = n.path)
+SELECT machine_id, project, path, CASE WHEN reset THEN new_hash ELSE old_hash END AS content_hash, CASE WHEN reset THEN 'pending' ELSE 'dead' END AS state, CASE WHEN reset THEN 0 ELSE 4 END AS attempt_count, CASE WHEN reset THEN 820454400000 ELSE 1 END AS next_attempt_at FROM j""",
+    "jobs_settle": _J + "SELECT job_id, CASE WHEN state = 'running' AND job_id % 4 <> 0 THEN CASE WHEN job_id % 2 = 0 THEN 'done' ELSE 'release' END ELSE 'stale' END AS outcome FROM j",
+    "log_dedup": """WITH t AS (SELECT CAST(hour(ts) AS INTEGER) AS tick, CAST(CAST(floor(count(*) FILTER (WHERE event_type = 'error') / 100) AS BIGINT) AS VARCHAR) AS digest FROM events GROUP BY 1),
+l AS (SELECT *, lag(digest) OVER (ORDER BY tick) AS b FROM t) SELECT tick, digest FROM l WHERE b IS NULL OR b <> digest OR tick % 24 = 0""",
     "outbox_scan": """WITH e AS (SELECT delivery_id, json_transform(payload, '[{"type":"VARCHAR","path":"VARCHAR","timestamp":"BIGINT","content_hash":"VARCHAR","content":"VARCHAR","entities":["JSON"]}]') AS ev FROM queue_events),
 x AS (SELECT delivery_id, generate_subscripts(ev, 1) - 1 AS position, unnest(ev) AS e FROM e)
 SELECT delivery_id, CAST(position AS INTEGER) AS position, e.type AS type, e.path AS path, e.timestamp AS timestamp, e.content_hash AS content_hash, CAST(length(e.content) AS INTEGER) AS n_chars, CAST(coalesce(len(e.entities), 0) AS INTEGER) AS n_entities FROM x""",
