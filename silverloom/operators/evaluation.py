@@ -40,9 +40,9 @@ def gate_b(base: DataFrame, new: DataFrame, k: int = 10, most: int = 2) -> DataF
 
 def gate(base: DataFrame, new: DataFrame, least: float = 0.8) -> DataFrame:
     """One row: share of passed A, number of failed B, verdict (0 passed, 1 failed, 2 no common query)."""
-    a = gate_a(base, new).agg(F.avg(F.col("ok").cast("double")).alias("pass_a"), F.count(F.lit(1)).alias("n"))
-    b = gate_b(base, new).agg(F.count_if(~F.col("ok")).alias("fail_b"))
-    return a.join(b).select(F.round("pass_a", 6).alias("pass_a"), "fail_b", F.when(F.col("n") == 0, 2).when((F.col("pass_a") >= least) & (F.col("fail_b") == 0), 0).otherwise(1).alias("verdict"))
+    both = gate_a(base, new).withColumnRenamed("ok", "a").join(gate_b(base, new).select("qid", F.col("ok").alias("b")), "qid", "full_outer")
+    row = both.agg(F.avg(F.col("a").cast("double")).alias("pass_a"), F.count("a").alias("n"), F.count_if(~F.col("b")).alias("fail_b"))
+    return row.select(F.round("pass_a", 6).alias("pass_a"), "fail_b", F.when(F.col("n") == 0, 2).when((F.col("pass_a") >= least) & (F.col("fail_b") == 0), 0).otherwise(1).alias("verdict"))
 
 
 def hit_rates(ranked: DataFrame, relevant: DataFrame) -> DataFrame:

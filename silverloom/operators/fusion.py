@@ -35,6 +35,6 @@ def boosted(fused: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     tokens = queries.select("qid", query_tokens(F.col("query")).alias("tokens"))
     n = F.size("tokens")
     boost = F.when(n > 0, unit * (PATH_BOOST * path_overlap(F.col("file_path"), F.col("tokens")) + ENTITY_BOOST * entity_overlap(F.col("matched_entities"), F.col("tokens"))) / n).otherwise(0.0)
-    scored = fused.join(F.broadcast(tokens), "qid").withColumn("score", F.col("score") + boost).drop("tokens")
+    scored = fused.join(tokens, "qid").withColumn("score", F.col("score") + boost).drop("tokens")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "file_path", "first_seen", "machine_id", "project"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
