@@ -145,12 +145,12 @@ def entity_overlap_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _captures(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Two ranked lists for every query: all vectors, and those of even labels."""
+    """Two ranked lists for every query: all vectors, and those of the first labels."""
     e = _t(spark, sf, "embeddings")
     label = e.select("vec_id", "label")
     shape = lambda d: d.join(label, "vec_id").select("qid", "rank", F.concat(F.lit("f"), F.floor(F.col("vec_id") / 2)).alias("file_path"), F.concat(F.lit("e"), "label").alias("entity"), F.round("score", 6).alias("score"))
     q = _query_vectors(spark, sf)
-    return shape(vector.exact_top_k(e, q, 10)), shape(vector.exact_top_k(e.filter("label % 2 = 0"), q, 10))
+    return shape(vector.exact_top_k(e, q, 10)), shape(vector.exact_top_k(e.filter("label < 5"), q, 10))
 
 
 def eval_jaccard(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,7 +203,7 @@ WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qe FROM embeddings WHERE
 pairs AS (SELECT qid, vec_id, label, list_cosine_similarity(qe, embedding::DOUBLE[]) AS score FROM q, embeddings),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pairs),
 scoped AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pairs WHERE label = 3),
-even AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pairs WHERE label % 2 = 0)
+even AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM pairs WHERE label < 5)
 """
 _FUSE = _VEC + """,
 d AS (SELECT doc_id, 'm' || (doc_id % 3) AS machine_id, coalesce(lang, '') AS project, '/src/' || source || '/doc_' || doc_id || '.txt' AS file_path, text FROM documents),
