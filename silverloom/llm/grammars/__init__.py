@@ -1,11 +1,16 @@
 """Syntax checkers for the supported languages. Each takes a text and tells whether it is valid source, without building a tree."""
 
+import sys
+
 from silverloom.llm.grammars.ecma import valid_ecma
 from silverloom.llm.grammars.go import valid_go
 from silverloom.llm.grammars.python3 import valid_python
 
 __all__ = ["CHECKERS", "valid_ecma", "valid_go", "valid_python"]
 
+# long chains of "else if" and deeply nested literals are valid source; frames of Python functions lie on the heap
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 30_000))
+
 #: Language name -> checker. JSX is part of the languages "jsx" and "tsx" only.
 CHECKERS = {
     "python": valid_python,

@@ -102,6 +102,13 @@ def test_deep_nesting_ends():
         assert check("(" * 100_000) is False, name
 
 
+def test_long_chains_and_deep_literals():
+    chain = " else ".join(f"if (a === {i}) {{ b(); }}" for i in range(2000))
+    assert valid_ecma(chain) and valid_ecma("x = " + "[" * 1500 + "]" * 1500) and valid_ecma("x = " + " + ".join("a" for _ in range(50_000)))
+    go = "package a\nfunc f() {\n" + " else ".join(f"if a == {i} {{ b() }}" for i in range(2000)) + "\n}\n"
+    assert valid_go(go) and not valid_go(go[:-3])
+
+
 def test_verdicts():
     py, go = "def f(self):\n    return None\n", "package a\n\nfunc f() {\n}\n"
     assert ranked(py)[0] == "python" and ranked(go)[0] == "go"
