@@ -41,6 +41,15 @@ def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.snapshots[-1].select("tbl", "period", "n_references", "n_orphans", "n_pending")
 
 
+def p2_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts after every batch of the ledger, not only after the last."""
+    ledger, _ = _ledger(spark, sf)
+    out = spark.createDataFrame([], "snapshot string, tbl string, period string, n_references long, n_orphans long, n_pending long")
+    for s in ledger.snapshots:
+        out = out.unionByName(s)
+    return out
+
+
 def _file_table(spark: SparkSession, sf: str) -> FileTable:
     table = FileTable(spark, new_folder(spark, "file-table"))
     table.apply(_t(spark, sf, "file_events"))
@@ -51,7 +60,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return _file_table(spark, sf).current().select("machine_id", "path", "event_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_delivered_once, p2_found, p2_counts, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_delivered_once, p2_found, p2_counts, p2_snapshots, p5_found)}
 
 _P1 = """
 WITH parsed AS (
