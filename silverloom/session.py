@@ -11,6 +11,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders below the shared one that this driver made.
+_FOLDERS: list[str] = []
+
+
 def build_session(app: str = "silverloom", cpus: int | None = None, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session with the settings the engine is tested under."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
@@ -40,12 +44,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
+    """A fresh path below the shared folder, removed by ``clear_staged`` or when the driver ends."""
     path = f"{shared_folder(spark)}/silverloom/{label}-{uuid.uuid4().hex}"
-    atexit.register(remove_folder, spark, path)
+    _FOLDERS.append(path)
     return path
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Removes all folders made so far; results that still read them must have been written elsewhere."""
+    while _FOLDERS:
+        remove_folder(spark, _FOLDERS.pop())
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _FOLDERS else None
+    if spark is not None:
+        clear_staged(spark)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     try:
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

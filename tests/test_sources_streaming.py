@@ -71,3 +71,17 @@ def test_debounce(spark, tmp_path):
 
 def test_shared_folder_is_read_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir") and build_session() is spark
+
+
+def test_staged_tables_are_removed(spark):
+    from pathlib import Path
+
+    from silverloom import session
+
+    kept, session._FOLDERS[:] = list(session._FOLDERS), []
+    df = session.staged(spark.range(3), "x")
+    path = Path(session._FOLDERS[0].removeprefix("file:").replace("//", "/"))
+    assert df.count() == 3 and path.exists()
+    session.clear_staged(spark)
+    assert not path.exists() and not session._FOLDERS
+    session._FOLDERS[:] = kept
