@@ -76,42 +76,40 @@ _WESTERN_OUT = re.compile(r"[\x80-ſƒȘ-ț" + _SIGNS_OUT + r"]*\Z")
 _OTHER_OUT = re.compile(r"[\x00-ſƒȘ-țΆ-ώЁ-џҐґ　-ヿ一-鿿가-힯＀-￯" + _SIGNS_OUT + r"]*\Z")
 _BOX = re.compile(r"[─-□]+\Z")
 _ONE_SCRIPT = re.compile(r"(?:[Ё-џҐґ\u2010-\u2026№«»]{2,}|[\u0386-\u03ce]{3,}|[\u3000-\u30ff\u4e00-\u9fff\uff01-\uff5e]{3,}|[\uac00-\ud7af]{3,})\Z")
-_CYRILLIC = re.compile(r"[Ѐ-џ]")
 
 
 def _decode_span(text: str, a: int, b: int, page: str, sure: bool = False) -> str | None:
     """What the span text[a:b] decodes to, or None if it is sound text that only looks like bytes. ``sure``: other spans of the text were garbled under the same page."""
+    before, after = text[a - 1 : a], text[b : b + 1]
+    cyrillic = page in ("cp1251", "cp866", "koi8_r")
+    if cyrillic and ("\u0400" <= before <= "\u045f" or "\u0400" <= after <= "\u045f"):
+        return None  # part of a sound word
     span, chars = text[a:b], byte_of(page)
-    out = bytes(chars[c] for c in span).decode("utf-8")
+    out = bytes([chars[c] for c in span]).decode("utf-8")
     western = _WESTERN_OUT.match(out)
     if not western and not (len(out) >= (1 if sure else 2) and _OTHER_OUT.match(out)):
         return None
     if page != "western" and any("\x80" <= c <= "\x9f" for c in out):
         return None
-    before, after = text[a - 1 : a], text[b : b + 1]
     drawn = _BOX.match(before) or _BOX.match(after)
     if _BOX.match(span) and not (sure and western and not drawn) and not (out.isalpha() and (before.isalpha() and before.isascii() or after.isalpha() and after.isascii())):
         return None  # a drawing
-    if page in ("cp1251", "cp866", "koi8_r"):
-        if _CYRILLIC.match(before) or _CYRILLIC.match(after):
-            return None  # part of a sound word
-        if not western and not _ONE_SCRIPT.match(out):
-            return None
+    if cyrillic and not western and not _ONE_SCRIPT.match(out):
+        return None
     return out
 
 
 @cache
-def _ends(page: str) -> tuple[frozenset, frozenset]:
+def _pair(page: str) -> re.Pattern:
+    """A lead byte and a continuation byte in the characters of a code page: what every span begins with."""
     chars = byte_of(page)
-    return frozenset(c for c, b in chars.items() if 0xC2 <= b <= 0xF4), frozenset(c for c, b in chars.items() if b <= 0xBF)
+    cls = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in chars.items() if lo <= b <= hi) + "]"
+    return re.compile(cls(0xC2, 0xF4) + cls(0x80, 0xBF))
 
 
 def _undo_utf8(text: str, page: str) -> tuple[str, int]:
     """The text with its spans decoded, and the number of characters decoded."""
     hits = 0
-    there, (leads, tails) = set(text), _ends(page)
-    if not (there & leads and there & tails):
-        return text, 0
 
     sure = False
 
@@ -137,21 +135,29 @@ _EAST_RUN = re.compile(r"(?:[⺀-鿿가-힯豈-﫿-︰-﹯！-￯‐-※
 _UTF8_BYTES = re.compile(rb"(?:[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|[\xc2-\xdf][\x80-\xbf]){2,}")
 
 
-def _undo_east(text: str, codec: str) -> tuple[str, int]:
+_THREE_BYTES = re.compile(rb"[\xe1-\xef][\x80-\xbf]{2}")
+
+
+def _undo_east(text: str, runs: set[str], codec: str) -> tuple[str, int]:
+    """``runs``: the runs of East Asian characters of the text."""
+    done = {}
+    for run in runs:
+        raw = run.encode(codec, "ignore")
+        if len(raw) < 6 or 3 * len(_THREE_BYTES.findall(raw)) < 0.7 * len(raw) or sum(len(x) for x in _UTF8_BYTES.findall(raw)) < 0.8 * len(raw):
+            continue
+        out = raw.decode("utf-8", "replace")
+        if _OTHER_OUT.match(out.replace("�", "")):
+            done[run] = out
+    if not done:
+        return text, 0
     hits = 0
 
     def put(m: re.Match) -> str:
         nonlocal hits
-        raw = m[0].encode(codec, "ignore")
-        done = sum(len(x) for x in _UTF8_BYTES.findall(raw))
-        three = sum(len(x) for x in re.findall(rb"[\xe1-\xef][\x80-\xbf]{2}", raw))
-        if len(raw) < 6 or three < 0.7 * len(raw) or done < 0.8 * len(raw):
-            return m[0]
-        out = raw.decode("utf-8", "replace")
-        good = sum(c != "�" for c in out)
-        if not _OTHER_OUT.match(out.replace("�", "")):
+        out = done.get(m[0])
+        if out is None:
             return m[0]
-        hits += good
+        hits += len(out) - out.count("�")
         return out
 
     return _EAST_RUN.sub(put, text), hits
@@ -243,8 +249,6 @@ def _undo_east_pair(text: str) -> tuple[str, int]:
 
 
 def _undo_western_east(text: str) -> tuple[str, int]:
-    if not _SEVERAL.search(text):
-        return text, 0
     best = (text, 0, 0.0)
     for codec in ("cp932", "euc_jp", "gbk", "euc_kr"):
         hits, weight = 0, 0.0
@@ -354,9 +358,9 @@ _CENTRAL_WORD = re.compile(r"[A-Za-z\x80-\x9f\xa1-\xffŒœŸŽžŠš]+")
 
 def _undo_central(text: str) -> tuple[str, int]:
     """Central European text read as Western: signs such as the superscripts stand in the middle of words."""
-    inside = len(_SIGN_IN_WORD.findall(text))
-    if not inside:
+    if not _SIGN_IN_WORD.search(text):
         return text, 0
+    inside = len(_SIGN_IN_WORD.findall(text))
     least = 1 if inside + len(_SIGN_ENDS.findall(text)) > 1 else 3
     best = (text, 0)
     for right in ("cp1250", "iso8859_2"):
@@ -387,6 +391,18 @@ _LEFT = re.compile(
 _LOWER = re.compile("[\xe3\xe2\xe4\xe5][\xa1-\xac\xae-\xba\xbc-\xbfƒ†‡ˆ‰ŠŒŽ˜™šœžŸ€][\xa1-\xbf‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ€]*")
 
 
+_RUNS = re.compile(r"[^\x00-\x7f]{2,}")
+_EAST = re.compile("[\u2e80-\uffef]")
+#: Cyrillic, drawings, or four letters beyond ASCII in a row.
+_SUSPECT = re.compile("[\u0400-\u045f]{2}|[\u2500-\u259f][\u0400-\u045f]|[\xa8\xb8\xc0-\xff]{4}")
+
+
+@cache
+def _western_run() -> re.Pattern:
+    """Five characters of the Western page beyond ASCII in a row."""
+    return re.compile("[" + "".join(map(re.escape, byte_of("western"))) + "]{5}")
+
+
 def _lift(m: re.Match) -> str:
     return m[0][0].upper() + m[0][1:]
 
@@ -418,21 +434,30 @@ def repair(text: str) -> tuple[bool, str | None]:
     now = _references(bare)
     changed = now != bare
     for _ in range(4):
-        if now.isascii():
-            break
-        tries = [(hits, -i, got) for i, page in enumerate(PAGES) for got, hits in [_undo_utf8(now, page)] if hits]
-        for codec in ("gb18030", "cp932"):
-            got, hits = _undo_east(now, codec)
-            if hits >= 2:
-                tries.append((hits, -20, got))
-        got, hits = _undo_western_east(now)
-        if hits >= 3:
-            tries.append((hits, -30, got))
-        for undo in (_undo_east_pair, _undo_cyrillic, _undo_central):
-            if not tries:
-                got, hits = undo(now)
+        runs = set(_RUNS.findall(now))
+        tries: list[tuple[int, int, str]] = []
+        if runs:
+            dense = "\x00".join(runs)  # a span has no ASCII in it
+            tries += [(hits, -i, got) for i, page in enumerate(PAGES) if _pair(page).search(dense) for got, hits in [_undo_utf8(now, page)] if hits]
+            if _EAST.search(dense):
+                east = set(_EAST_RUN.findall(now))
+                tries += [(hits, -20, got) for codec in ("gb18030", "cp932") for got, hits in [_undo_east(now, east, codec)] if hits >= 2]
+            if _western_run().search(dense):
+                got, hits = _undo_western_east(now)
+                if hits >= 3:
+                    tries.append((hits, -30, got))
+            if not tries and _EAST.search(dense):
+                got, hits = _undo_east_pair(now)
+                if hits:
+                    tries.append((hits, -40, got))
+            if not tries and _SUSPECT.search(dense):
+                got, hits = _undo_cyrillic(now)
                 if hits:
                     tries.append((hits, -40, got))
+        if not tries:
+            got, hits = _undo_central(now)
+            if hits:
+                tries.append((hits, -40, got))
         if not tries and len(_LOWER.findall(now)) > 1:
             lifted = _LOWER.sub(_lift, now)
             got, hits = _undo_utf8(lifted, "western")
