@@ -386,6 +386,8 @@ _LEFT = re.compile(
     "�|[\x80-\x84\x86-\x9f]|\xef\xbb\xbf"  # cannot stand in any text
     "|\xe2{2,}(?=[ \n]|\\Z)|(?:\xe2 ){2,}"  # drawings whose continuation bytes were lost
     "|[\xe3\xe2][\xa1-\xa9\xab\xac\xae\xaf\xb1\xb4-\xb8\xbc-\xbf€]"  # a lead byte in lower case
+    "|(?<=[a-z])\xe2(?=(?:t|s|re|ve|ll|d|m)\\b)|(?<= )\xe2(?= )"  # an apostrophe or a dash, likewise
+    "|(?<=[ \n])\xc3(?= )|(?<=[0-9.,;:!?])\xc2(?= )"  # a no-break space that became a plain one
     "|\\b\xc3(?=[a-z]{2})|(?<=[a-z])\xc3(?=[a-z ,.])"  # a capital letter whose second byte was lost
 )
 _LOWER = re.compile("[\xe3\xe2\xe4\xe5][\xa1-\xac\xae-\xba\xbc-\xbfƒ†‡ˆ‰ŠŒŽ˜™šœžŸ€][\xa1-\xbf‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ€]*")

@@ -84,6 +84,7 @@ def test_what_cannot_be_restored_is_found():
     assert repair("La b�squeda encontr� 3 se�ales") == (True, None)
     assert repair("don\x92t") == (True, None) and repair("lines:\nâââ pkg/")[0] and repair("Die Ãbersicht zeigt")[0]
     assert repair(misread(SAMPLES["fr"], "cp1252").lower())[0]
+    assert repair("Donât rename it â itâs part")[0] and repair("un port Ã partir de 10Â km")[0]
     assert repair("") == (False, None)
 
 
