@@ -13,9 +13,8 @@ BLANK = "[\\s\\x1C-\\x1F\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202
 
 
 def lines_of(content: Column) -> Column:
-    """The lines of a text; a final line end starts no new one."""
-    parts = F.split(content, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    """The lines of a text; a final line end starts no new one, an empty text has one empty line."""
+    return F.split(F.regexp_replace(content, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
 
 
 def strip(c: Column) -> Column:
@@ -45,16 +44,14 @@ def windows(files: DataFrame, keys: list[str], window: int = WINDOW, stride: int
 
 def symbol_chunks(events: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, entity_index, name, start_line, end_line, text): one per entity with text, repeated (name, start, end) once."""
-    e = events.filter("content IS NOT NULL").select(*keys, lines_of(F.col("content")).alias("lines"), F.posexplode("entities").alias("entity_index", "e"))
-    first = Window.partitionBy(*keys, "name", "start_line", "end_line").orderBy("entity_index")
-    text = F.substring(symbol_slice(F.col("lines"), F.col("e.start_line"), F.col("e.end_line")), 1, MAX_SYMBOL)
-    return (
-        e.select(*keys, "entity_index", F.col("e.name").alias("name"), F.col("e.start_line").alias("start_line"), F.col("e.end_line").alias("end_line"), text.alias("text"))
-        .filter("text <> ''")
-        .withColumn("__sl_rn", F.row_number().over(first))
-        .filter("__sl_rn = 1")
-        .drop("__sl_rn")
+    rows = events.filter("content IS NOT NULL AND size(entities) > 0").select(*keys, "entities", lines_of(F.col("content")).alias("lines"))
+    # the texts are cut out before the entities are exploded, so that the lines are not copied for each of them
+    cut = F.transform(
+        F.col("entities"),
+        lambda e, i: F.struct(i.alias("entity_index"), e["name"].alias("name"), e["start_line"].alias("start_line"), e["end_line"].alias("end_line"), F.substring(symbol_slice(F.col("lines"), e["start_line"], e["end_line"]), 1, MAX_SYMBOL).alias("text")),
     )
+    first = Window.partitionBy(*keys, "name", "start_line", "end_line").orderBy("entity_index")
+    return rows.select(*keys, F.explode(cut).alias("e")).select(*keys, "e.*").filter("text <> ''").withColumn("__sl_rn", F.row_number().over(first)).filter("__sl_rn = 1").drop("__sl_rn")
 
 
 def file_chunks(events: DataFrame, keys: list[str], cap: int = MAX_CHUNKS) -> DataFrame:
