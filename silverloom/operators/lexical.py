@@ -1,8 +1,8 @@
 """Full-text search: tokens, phrases, BM25 with statistics of the whole corpus.
 
 A query is cut into at most 16 terms of word characters, dots, slashes and hyphens; each term is a phrase of index tokens, phrases
-are OR-ed and a repeated term counts twice. Only the tokens that occur in some query are exploded: every document's token array is
-filtered against them first, so that what is shuffled follows the hits and not the corpus.
+are OR-ed and a repeated term counts twice. Tokens that occur in no query are dropped as they come out of the documents, so that
+what is shuffled follows the hits and not the corpus.
 """
 
 from __future__ import annotations
@@ -42,13 +42,11 @@ def phrase_hits(tokens: DataFrame, phrases: DataFrame, keys: list[str]) -> DataF
     """(keys, doc_len, qid, phrase_no, tf). ``phrases`` is small: at most 16 terms per query."""
     words = phrases.select("qid", "phrase_no", F.size("tokens").alias("k"), F.posexplode("tokens").alias("offset", "token"))
     vocabulary = [r[0] for r in words.select("token").distinct().collect()]  # the tokens of at most 16 terms per query
-    hits = lambda col, field: F.transform(
-        F.filter(F.transform(F.col(col), lambda t, i: F.struct(t.alias("token"), i.alias("pos"))), lambda x: x["token"].isin(vocabulary)),
-        lambda x: F.struct(F.lit(field).alias("field"), x["token"].alias("token"), x["pos"].alias("pos")),
-    )
+    fields = F.explode(F.array(F.struct(F.lit(0).alias("field"), F.col("path_tokens").alias("t")), F.struct(F.lit(1).alias("field"), F.col("body_tokens").alias("t"))))
     found = (
-        tokens.select(*keys, "doc_len", F.explode(F.concat(hits("path_tokens", 0), hits("body_tokens", 1))).alias("h"))
-        .select(*keys, "doc_len", "h.*")
+        tokens.select(*keys, "doc_len", fields.alias("f"))
+        .select(*keys, "doc_len", F.col("f.field").alias("field"), F.posexplode("f.t").alias("pos", "token"))
+        .filter(F.col("token").isin(vocabulary))
         .join(F.broadcast(words), "token")
         .withColumn("start", F.col("pos") - F.col("offset"))
     )
