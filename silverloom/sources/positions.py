@@ -7,8 +7,9 @@ skip the other rows while decoding, so that no wide row is shuffled or joined.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +45,24 @@ def row_vectors(scan: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _open(uri: str):
+    """Opens a file by the path Spark gives, in which special characters are percent-encoded."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri) if "://" in uri else fs.FileSystem.from_uri("file://" + unquote(uri.removeprefix("file:")))
-    return pq.ParquetFile(system.open_input_file(unquote(path) if "%" in path else path))
+    parts = urlsplit(uri)
+    if parts.scheme in ("", "file"):
+        system, path = fs.LocalFileSystem(), unquote(parts.path)
+    else:
+        system, base = fs.FileSystem.from_uri(f"{parts.scheme}://{parts.netloc}/")
+        path = base.rstrip("/") + "/" + unquote(parts.path).lstrip("/")
+    return pq.ParquetFile(system.open_input_file(path))
+
+
+def _from_path(path: str, field: pa.Field, n: int) -> pa.Array:
+    """A column that a file lacks: the value of a partition folder, else null."""
+    m = re.search(f"/{re.escape(field.name)}=([^/]*)/", unquote(path))
+    value = None if not m or m[1] == "__HIVE_DEFAULT_PARTITION__" else m[1]
+    return pa.array([value] * n, pa.string()).cast(field.type)
 
 
 def _masked(file, blocks: list[tuple[int, bytes | None]], columns: list[str], invert: bool) -> Iterator[pa.RecordBatch]:
@@ -90,9 +104,11 @@ def read_rows(vectors: DataFrame, schema: T.StructType, invert: bool = False, bl
             for path, block, bitmap in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "bitmap"))):
                 todo.setdefault(path, []).append((block, bitmap))
         for path, blocks in todo.items():
-            for out in _masked(_open(path), sorted(blocks, key=lambda x: x[0]), columns, invert):
-                table = pa.Table.from_batches([out]).select(columns).cast(target)
-                yield from table.to_batches()
+            file = _open(path)
+            there = [c for c in columns if c in file.schema_arrow.names]
+            for out in _masked(file, sorted(blocks, key=lambda x: x[0]), there, invert):
+                arrays = [out.column(c).cast(target.field(c).type) if c in there else _from_path(path, target.field(c), out.num_rows) for c in columns]
+                yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     some = F.coalesce(F.bitmap_count("bitmap"), F.lit(0))
     n_tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))

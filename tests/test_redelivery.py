@@ -69,3 +69,17 @@ def test_many_blocks_and_one_hot_message(spark, tmp_path, rows):
     assert first.count() == rows - hot_rows + 1
     assert first.filter(F.col("wide") != F.concat(F.lit("w"), F.col("delivery_id"))).count() == 0
     assert d.repeats("delivery_id").agg(F.count(F.lit(1)), F.min("delivery_id")).first() == (hot_rows - 1, 3)
+
+
+@pytest.mark.parametrize("name", ["a b", "\u00fc \u00e9", "p%20q", "x+y=1", "a#b?"])
+def test_special_characters_in_paths(spark, tmp_path, name):
+    assert run(spark, tmp_path / name, [row(1, [message()]), row(2, [message()])]) == ([1], [2])
+
+
+def test_partition_folders_and_missing_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [row(1, [message()]), row(2, [message()]), row(3, [message(t=2)])]
+    spark.createDataFrame(rows, SCHEMA).withColumn("day", F.when(F.col("delivery_id") != 1, F.col("delivery_id").cast("int"))).drop("block").write.partitionBy("day").parquet(path)
+    scan = spark.read.schema(SCHEMA + ", day int").parquet(path)
+    got = sorted((r.delivery_id, r.day, r.block, r.bitmap) for r in split_deliveries(scan).first().collect())
+    assert got == [(1, None, None, "x"), (3, 3, None, "x")]
