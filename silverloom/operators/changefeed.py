@@ -24,6 +24,7 @@ from silverloom.functions.text import nfc
 from silverloom.sources.positions import FILE, ROW, read_rows, row_vectors, with_position
 
 KEY = ["machine_id", "path"]
+BUCKET_BYTES = 256 << 20
 STATE = "machine_id string, path string, sec long, event_id long, live boolean, project string, content_hash string, content string"
 
 
@@ -55,9 +56,12 @@ def last_changes(changes: DataFrame) -> DataFrame:
 
 
 class FileTable:
-    """A keyed table of bucket files under ``root``, changed only by new manifests."""
+    """A keyed table of bucket files under ``root``, changed only by new manifests.
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+    ``buckets`` is fixed by the first feed: given, or one per 256 MB of it, 64 at least.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -104,7 +108,7 @@ class FileTable:
     def apply(self, scan: DataFrame) -> int:
         """Applies a feed (a plain Parquet scan of file events) and returns the new version."""
         manifest = self.manifest()
-        self.buckets = manifest["buckets"]
+        self.buckets = manifest["buckets"] or max(64, min(65_536, int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BUCKET_BYTES))
         last = last_changes(effective_changes(with_position(scan))).withColumn("__sl_bucket", self._bucket()).persist()
         try:
             touched = [r[0] for r in last.select("__sl_bucket").distinct().collect()]  # at most as many as there are buckets
