@@ -313,3 +313,14 @@ SELECT machine_id, project, array_to_string(p[1:k], '/') AS path, bool_or(k < le
     "read_files": """WITH asked AS (SELECT DISTINCT machine_id, path AS file_path FROM file_events), st AS (SELECT machine_id, file_path, content FROM (SELECT *, row_number() OVER (PARTITION BY machine_id, file_path ORDER BY updated_at DESC, file_id DESC) AS rn FROM files) WHERE rn = 1)
 SELECT a.machine_id, a.file_path, md5(coalesce(content, '[file not found: ' || a.file_path || ']')) AS md5 FROM asked a LEFT JOIN st ON st.machine_id = a.machine_id AND st.file_path = a.file_path""",
 }
+ORACLE["project_tree_render"] = f"""
+WITH n AS (SELECT machine_id, project, path, is_dir, string_split(path, '/') AS parts FROM ({ORACLE["project_tree_paths"]})),
+k AS (SELECT *, len(parts) AS depth, array_to_string(parts[1:len(parts) - 1], '/') AS parent,
+  coalesce(array_to_string(list_transform(parts[1:len(parts) - 1], lambda p: '1' || p || chr(1)), ''), '') || CASE WHEN is_dir THEN '1' ELSE '0' END || parts[-1] || CASE WHEN is_dir THEN chr(1) ELSE '' END AS key FROM n),
+l AS (SELECT *, key = max(key) OVER (PARTITION BY machine_id, project, parent) AS is_last, row_number() OVER (PARTITION BY machine_id, project ORDER BY key) AS r FROM k),
+u AS (SELECT machine_id, project, path, unnest(range(1, depth)) AS d, parts FROM l WHERE r <= 300),
+a AS (SELECT u.machine_id, u.project, u.path, string_agg(CASE WHEN x.is_last THEN '    ' ELSE '│   ' END, '' ORDER BY u.d) AS indent
+  FROM u JOIN l x ON x.machine_id = u.machine_id AND x.project = u.project AND x.path = array_to_string(u.parts[1:u.d], '/') GROUP BY 1, 2, 3)
+SELECT l.machine_id, l.project, l.project || '/' || chr(10) || string_agg(coalesce(indent, '') || CASE WHEN is_last THEN '└── ' ELSE '├── ' END || parts[-1] || CASE WHEN is_dir THEN '/' ELSE '' END, chr(10) ORDER BY key) FILTER (WHERE r <= 300)
+  || CASE WHEN count(*) > 300 THEN chr(10) || '[truncated]' ELSE '' END AS tree
+FROM l LEFT JOIN a ON a.machine_id = l.machine_id AND a.project = l.project AND a.path = l.path GROUP BY l.machine_id, l.project"""
