@@ -222,7 +222,7 @@ t AS (SELECT *, last_error = '' OR regexp_matches(lower(last_error), 'timeout|ti
 cls AS (SELECT error_class, count(*) AS n FROM t WHERE state = 'dead' GROUP BY 1),
 cand AS (SELECT * FROM t WHERE state = 'dead' AND replay_count < 3 AND due_at <= 820454400000 - 86400000 AND job_id > 100 ORDER BY job_id)
 """
-from silverloom.plans.corpus import _EV  # noqa: E402
+from silverloom.plans.corpus import _BLANK, _EV, _LINES  # noqa: E402
 from silverloom.plans.problems import ORACLE as _PROBLEMS  # noqa: E402
 
 ORACLE = {
@@ -269,3 +269,20 @@ SELECT delivery_id, CAST(position AS INTEGER) AS position, e.type AS type, e.pat
     "stream_skip_unchanged": _EV + "SELECT event_id FROM (SELECT *, lag(content_hash) OVER (PARTITION BY machine_id, path ORDER BY sec, event_id) AS b FROM ev WHERE event_type IN ('CREATE', 'MODIFY') AND content_hash IS NOT NULL) WHERE content_hash = b",
     "stream_type_counts": "SELECT machine_id, upper(trim(event_type)) AS event_type, count(*) AS n FROM file_events GROUP BY 1, 2",
 }
+_ID = "sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(machine_id || ':' || coalesce(project, '') || ':' || path || ':' || entity || ':' || chunk_no))"
+ORACLE["chunk_points"] = _EV + f""",
+las AS (SELECT * FROM (SELECT ev.*, raw.entities, row_number() OVER (PARTITION BY ev.machine_id, ev.path ORDER BY ev.sec DESC NULLS LAST, ev.event_id DESC) AS k
+  FROM ev JOIN raw ON raw.event_id = ev.event_id AND raw.rn = 1 WHERE ev.event_type IN ('CREATE', 'MODIFY') AND ev.content IS NOT NULL) WHERE k = 1 AND length(content) < 100000),
+ln0 AS (SELECT *, {_LINES.format("content")} AS l0 FROM las),
+ln AS (SELECT *, CASE WHEN len(l0) > 1 AND l0[-1] = '' THEN l0[:-2] ELSE l0 END AS lines FROM ln0),
+e AS (SELECT event_id, lines, i - 1 AS chunk_no, entities[i].name AS name, entities[i].start_line AS a, entities[i].end_line AS b FROM (SELECT *, unnest(range(1, len(entities) + 1)) AS i FROM ln)),
+sym AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, name, a, b ORDER BY chunk_no) AS rn FROM e
+  WHERE a >= 1 AND b >= a AND a <= len(lines) AND regexp_replace(array_to_string(lines[a:b], chr(10)), '{_BLANK}+', '', 'g') <> '') WHERE rn = 1),
+win AS (SELECT event_id, content, st, row_number() OVER (PARTITION BY event_id ORDER BY st) - 1 AS chunk_no, least(st + 2400, length(content)) AS en
+  FROM (SELECT event_id, content, unnest(list_filter(range(0, CAST(length(content) AS BIGINT), 600), lambda p: p = 0 OR p - 600 + 2400 < length(content))) AS st FROM las WHERE content <> '' AND event_id NOT IN (SELECT event_id FROM sym))),
+c AS (SELECT event_id, chunk_no, coalesce(name, '') AS entity, a AS start_line, b AS end_line FROM sym
+  UNION ALL SELECT event_id, chunk_no, '', len(string_split(left(content, st), chr(10))), len(string_split(left(content, en), chr(10))) FROM win),
+d AS (SELECT * FROM (SELECT c.*, machine_id, project, path, row_number() OVER (PARTITION BY c.event_id ORDER BY chunk_no) AS r FROM c JOIN las ON las.event_id = c.event_id) WHERE r <= 64),
+h AS (SELECT *, {_ID} AS h FROM d)
+SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id,
+  entity, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM h"""
