@@ -41,12 +41,10 @@ def corpus_stats(tokens: DataFrame) -> tuple[int, float]:
 def phrase_hits(tokens: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, doc_len, qid, phrase_no, tf). ``phrases`` is small: at most 16 terms per query."""
     words = phrases.select("qid", "phrase_no", F.size("tokens").alias("k"), F.posexplode("tokens").alias("offset", "token"))
-    vocabulary = [r[0] for r in words.select("token").distinct().collect()]  # the tokens of at most 16 terms per query
     fields = F.explode(F.array(F.struct(F.lit(0).alias("field"), F.col("path_tokens").alias("t")), F.struct(F.lit(1).alias("field"), F.col("body_tokens").alias("t"))))
     found = (
         tokens.select(*keys, "doc_len", fields.alias("f"))
         .select(*keys, "doc_len", F.col("f.field").alias("field"), F.posexplode("f.t").alias("pos", "token"))
-        .filter(F.col("token").isin(vocabulary))
         .join(F.broadcast(words), "token")
         .withColumn("start", F.col("pos") - F.col("offset"))
     )

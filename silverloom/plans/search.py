@@ -87,10 +87,14 @@ def vector_index_recall(spark: SparkSession, sf: str) -> DataFrame:
     return exact.join(found, ["qid", "vec_id"], "left").groupBy("qid").agg(F.round(F.avg(F.coalesce("hit", F.lit(0)).cast("double")), 6).alias("recall"))
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("m"), F.col("doc_id") % 3).alias("machine_id"), F.coalesce("lang", F.lit("")).alias("project"), F.concat(F.lit("/src/"), F.col("source"), F.lit("/doc_"), "doc_id", F.lit(".txt")).alias("file_path"), "text")
+
+
 def _hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Semantic hits (chunks: vector v is chunk v % 2 of document v // 2) and lexical hits for the vector queries."""
     top = vector_cosine_top10(spark, sf)
-    d = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("m"), F.col("doc_id") % 3).alias("machine_id"), F.coalesce("lang", F.lit("")).alias("project"), F.concat(F.lit("/src/"), F.col("source"), F.lit("/doc_"), "doc_id", F.lit(".txt")).alias("file_path"), "text")
+    d = _documents(spark, sf)
     e = _t(spark, sf, "embeddings").select("vec_id", "label")
     semantic = (
         top.join(e, "vec_id").withColumn("doc_id", F.floor(F.col("vec_id") / 2)).join(d, "doc_id")
@@ -120,6 +124,31 @@ def hybrid_boosted_top10(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("qid", "rank", "file_path", F.round("score", 6).alias("score"))
 
 
+def _document_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts to the query vectors: the first 120 characters of the vector's document."""
+    v = _query_vectors(spark, sf).select("qid", F.floor(F.col("qid") / 2).alias("doc_id"))
+    return v.join(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id", "left").select("qid", F.coalesce(F.substring("text", 1, 120), F.lit("")).alias("query"))
+
+
+def _fulltext_fused(spark: SparkSession, sf: str) -> DataFrame:
+    """Semantic hits fused with the BM25 hits of the query texts over the same documents."""
+    keys, d = ["doc_id", *KEYS], _documents(spark, sf)
+    tokens = lexical.tokenised(d.withColumn("content", F.col("text")), keys)
+    top = lexical.top_k(lexical.bm25(tokens, lexical.query_phrases(_document_queries(spark, sf)), keys), 10, [*KEYS, "doc_id"], 6)
+    lex = top.join(d.select("doc_id", F.substring("text", 1, 500).alias("snippet")), "doc_id").select("qid", *KEYS, "rank", "snippet")
+    return fusion.fuse(_hits(spark, sf)[0], lex)
+
+
+def hybrid_fulltext_fused(spark: SparkSession, sf: str) -> DataFrame:
+    fused = _fulltext_fused(spark, sf)
+    return fused.select(*fusion.KEYS, F.round("score", 9).alias("score"), F.md5("snippet").alias("snippet_md5"), F.array_join("matched_entities", ",").alias("entities"))
+
+
+def hybrid_fulltext_top10(spark: SparkSession, sf: str) -> DataFrame:
+    top = fusion.boosted(_fulltext_fused(spark, sf), _document_queries(spark, sf))
+    return top.select("qid", "rank", "file_path", F.round("score", 6).alias("score"))
+
+
 def ident_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "entities").select("entity_id", F.array_join(F.array_sort(identifier_tokens(F.col("name"))), " ").alias("tokens"))
 
@@ -176,7 +205,7 @@ def eval_hit_mrr(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = (
     lexical_query_terms, lexical_index_stats, lexical_bm25_top10, lexical_scoped_global_stats, lexical_phrase, vector_cosine_top10, vector_scoped_top10, vector_index_top10, vector_index_recall,
-    rrf_fuse, snippet_rule, matched_entities, hybrid_boosted_top10, ident_tokens, home_prefix_strip, path_overlap_counts, entity_overlap_counts, eval_jaccard, eval_gate_a, eval_gate_b, eval_gate, eval_hit_mrr,
+    rrf_fuse, snippet_rule, matched_entities, hybrid_boosted_top10, hybrid_fulltext_fused, hybrid_fulltext_top10, ident_tokens, home_prefix_strip, path_overlap_counts, entity_overlap_counts, eval_jaccard, eval_gate_a, eval_gate_b, eval_gate, eval_hit_mrr,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -214,6 +243,16 @@ fused AS (SELECT qid, machine_id, project, file_path, sum(part) AS score,
   left(coalesce(nullif(arg_min(snippet, rank) FILTER (WHERE kind = 0), ''), nullif(arg_min(snippet, rank) FILTER (WHERE kind = 1), ''), ''), 250) AS snippet,
   list_sort(list_distinct(list(entity) FILTER (WHERE entity <> ''))) AS ents, min(kind * 1000 + rank) AS first_seen FROM hits GROUP BY ALL)
 """
+_TEXT_LEX = (
+    _LEX.replace(f"WITH searches(qid, query) AS (VALUES {SEARCH_SQL})", "searches AS (SELECT vec_id AS qid, coalesce(left(text, 120), '') AS query FROM embeddings LEFT JOIN documents ON doc_id = vec_id // 2 WHERE vec_id % 50 = 0)")
+    .replace("SELECT file_id, machine_id, coalesce(project, '') AS project", "SELECT doc_id AS file_id, machine_id, project").replace("coalesce(content, '')", "coalesce(text, '')").replace("FROM files)", "FROM d)")
+)
+_TEXT_FUSE = (
+    _FUSE[: _FUSE.index("lex AS (")] + _TEXT_LEX.strip() + """,
+lex AS (SELECT qid, machine_id, project, file_path, rn AS rank, left(text, 500) AS snippet FROM
+  (SELECT qid, file_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, machine_id, project, file_path, file_id) AS rn FROM scores) JOIN d ON d.doc_id = file_id WHERE rn <= 10),
+""" + _FUSE[_FUSE.index("hits AS (") :]
+)
 
 
 def _ident(x: str) -> str:
@@ -258,6 +297,7 @@ boosted AS (SELECT f.qid, machine_id, project, file_path, first_seen, score + CA
    + 0.50 * len(list_filter(tokens, lambda t: list_contains({_ident("array_to_string(coalesce(ents, []), '/')")}, t)))) / len(tokens) ELSE 0 END AS score FROM fused f JOIN qs USING (qid)),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, file_path, first_seen, machine_id, project) AS rn FROM boosted)
 SELECT qid, CAST(rn AS INTEGER) AS rank, file_path, round(score, 6) AS score FROM r WHERE rn <= 10""",
+    "hybrid_fulltext_fused": _TEXT_FUSE + "SELECT qid, machine_id, project, file_path, round(score, 9) AS score, md5(snippet) AS snippet_md5, coalesce(array_to_string(ents, ','), '') AS entities FROM fused",
     "ident_tokens": f"SELECT entity_id, array_to_string(list_sort({_ident('name')}), ' ') AS tokens FROM entities",
     "home_prefix_strip": f"SELECT file_id, {_HOME.format('file_path')} AS stripped FROM files",
     "path_overlap_counts": f"""
@@ -278,3 +318,4 @@ FROM (SELECT avg(ok::INT) AS pa, count(*) AS n FROM ga), (SELECT count(*) FILTER
     "eval_hit_mrr": _CAP + """, rel AS (SELECT qid, 'f' || (qid // 2) AS file_path FROM q), hit AS (SELECT rel.qid, min(b.rank) AS first FROM rel LEFT JOIN b ON b.qid = rel.qid AND b.file_path = rel.file_path GROUP BY rel.qid)
 SELECT count(*) AS n_queries, round(avg(coalesce((first <= 1)::INT, 0)), 6) AS hit_1, round(avg(coalesce((first <= 3)::INT, 0)), 6) AS hit_3, round(avg(coalesce((first <= 10)::INT, 0)), 6) AS hit_10, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM hit""",
 }
+ORACLE["hybrid_fulltext_top10"] = _TEXT_FUSE + ORACLE["hybrid_boosted_top10"][len(_FUSE) :].replace(_ident("'rank issue label3 doc' || qid"), _ident("query")).replace(" AS tokens FROM q)", " AS tokens FROM searches)")
