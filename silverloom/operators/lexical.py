@@ -40,16 +40,18 @@ def corpus_stats(tokens: DataFrame) -> tuple[int, float]:
 
 def phrase_hits(tokens: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, doc_len, qid, phrase_no, tf). ``phrases`` is small: at most 16 terms per query."""
-    words = phrases.select("qid", "phrase_no", F.size("tokens").alias("k"), F.posexplode("tokens").alias("offset", "token"))
+    asked = phrases.select("qid", "phrase_no", F.array_join("tokens", " ").alias("phrase"))  # many queries may ask for one phrase: it is looked up once
+    words = phrases.select(F.array_join("tokens", " ").alias("phrase"), "tokens").distinct().select("phrase", F.size("tokens").alias("k"), F.posexplode("tokens").alias("offset", "token"))
     fields = F.explode(F.array(F.struct(F.lit(0).alias("field"), F.col("path_tokens").alias("t")), F.struct(F.lit(1).alias("field"), F.col("body_tokens").alias("t"))))
     found = (
         tokens.select(*keys, "doc_len", fields.alias("f"))
         .select(*keys, "doc_len", F.col("f.field").alias("field"), F.posexplode("f.t").alias("pos", "token"))
         .join(F.broadcast(words), "token")
-        .withColumn("start", F.col("pos") - F.col("offset"))
+        .withColumn("start", F.when(F.col("k") > 1, F.col("pos") - F.col("offset")))  # a phrase of one token is whole wherever it stands
     )
-    whole = found.groupBy(*keys, "doc_len", "qid", "phrase_no", "field", "start").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k")).filter("n = k")
-    return whole.groupBy(*keys, "doc_len", "qid", "phrase_no").agg(F.count(F.lit(1)).alias("tf"))
+    whole = found.groupBy(*keys, "doc_len", "phrase", "k", "field", "start").agg(F.count(F.lit(1)).alias("n")).filter("k = 1 OR n = k")
+    tf = whole.groupBy(*keys, "doc_len", "phrase").agg(F.sum(F.when(F.col("k") > 1, F.lit(1)).otherwise(F.col("n"))).alias("tf"))
+    return tf.join(F.broadcast(asked), "phrase").select(*keys, "doc_len", "qid", "phrase_no", "tf")
 
 
 def bm25(tokens: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:

@@ -132,9 +132,10 @@ def _document_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fulltext_fused(spark: SparkSession, sf: str) -> DataFrame:
     """Semantic hits fused with the BM25 hits of the query texts over the same documents."""
-    keys, d = ["doc_id", *KEYS], _documents(spark, sf)
-    tokens = lexical.tokenised(d.withColumn("content", F.col("text")), keys)
-    top = lexical.top_k(lexical.bm25(tokens, lexical.query_phrases(_document_queries(spark, sf)), keys), 10, [*KEYS, "doc_id"], 6)
+    d = _documents(spark, sf)
+    tokens = lexical.tokenised(d.withColumn("content", F.col("text")), ["doc_id"])
+    scored = lexical.bm25(tokens, lexical.query_phrases(_document_queries(spark, sf)), ["doc_id"]).join(d.drop("text"), "doc_id")
+    top = lexical.top_k(scored, 10, [*KEYS, "doc_id"], 6)
     lex = top.join(d.select("doc_id", F.substring("text", 1, 500).alias("snippet")), "doc_id").select("qid", *KEYS, "rank", "snippet")
     return fusion.fuse(_hits(spark, sf)[0], lex)
 
