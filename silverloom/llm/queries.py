@@ -9,7 +9,7 @@ from silverloom.llm.mixing import mix_sources
 from silverloom.llm.mojibake import garbled
 from silverloom.llm.packing import pack_documents
 from silverloom.llm.parsing import parse_rates, parsed_files
-from silverloom.llm.provenance import classified, fit_on
+from silverloom.llm.provenance import classified
 from silverloom.llm.splitting import split_items
 
 
@@ -46,9 +46,7 @@ def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    files = _t(spark, sf, "files")
-    model, _ = fit_on(files)
-    return classified(files, model)
+    return classified(_t(spark, sf, "files"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
