@@ -7,8 +7,10 @@ twice, and for GBK, Shift-JIS and EUC-KR read as Western text. Where the damage
 one-byte Cyrillic read in another code page by its letter frequencies, and remains that cannot be decoded (replacement
 characters, C1 controls, lead bytes whose continuation was lost or whose case was changed).
 
-Defined cases: null and ASCII texts without character references are clean; an empty text is clean; text between backticks on one line
-quotes characters and is not judged; ``restored`` is the text with every decodable span decoded, null if none was; texts are processed whole.
+``by`` tells which way found a text: "spans" (the automata, also those over the bytes of East Asian runs), "letters" (frequencies, signs inside words) or "remains".
+
+Defined cases: null and ASCII texts without character references are clean; an empty text is clean; text between backticks on one line, of any length,
+quotes characters and is not judged; ``restored`` is the text with every decodable span decoded, as often as it was garbled, null if none was; texts are processed whole.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэ
 SHORT = frozenset("и в с к о у а я на по не до от из за но об ко со во же бы ли".split())
 CYRILLIC_PAGES = ("cp1251", "koi8_r", "cp866", "mac_cyrillic", "iso8859_5")
 
-_QUOTED = re.compile(r"`[^`\n]{1,60}`")
+_QUOTED = re.compile(r"`[^`\n]+`")
 _REFS = re.compile(r"(?:&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});)+")
 
 
@@ -78,13 +80,12 @@ _BOX = re.compile(r"[─-□]+\Z")
 _ONE_SCRIPT = re.compile(r"(?:[Ё-џҐґ\u2010-\u2026№«»]{2,}|[\u0386-\u03ce]{3,}|[\u3000-\u30ff\u4e00-\u9fff\uff01-\uff5e]{3,}|[\uac00-\ud7af]{3,})\Z")
 
 
-def _decode_span(text: str, a: int, b: int, page: str, sure: bool = False) -> str | None:
-    """What the span text[a:b] decodes to, or None if it is sound text that only looks like bytes. ``sure``: other spans of the text were garbled under the same page."""
-    before, after = text[a - 1 : a], text[b : b + 1]
+def _decode_span(span: str, before: str, after: str, page: str, sure: bool) -> str | None:
+    """What a span between two characters decodes to, or None if it is sound text that only looks like bytes. ``sure``: other spans of the text were garbled under the same page."""
     cyrillic = page in ("cp1251", "cp866", "koi8_r")
     if cyrillic and ("\u0400" <= before <= "\u045f" or "\u0400" <= after <= "\u045f"):
         return None  # part of a sound word
-    span, chars = text[a:b], byte_of(page)
+    chars = byte_of(page)
     out = bytes([chars[c] for c in span]).decode("utf-8")
     western = _WESTERN_OUT.match(out)
     if not western and not (len(out) >= (1 if sure else 2) and _OTHER_OUT.match(out)):
@@ -92,19 +93,28 @@ def _decode_span(text: str, a: int, b: int, page: str, sure: bool = False) -> st
     if page != "western" and any("\x80" <= c <= "\x9f" for c in out):
         return None
     drawn = _BOX.match(before) or _BOX.match(after)
-    if _BOX.match(span) and not (sure and western and not drawn) and not (out.isalpha() and (before.isalpha() and before.isascii() or after.isalpha() and after.isascii())):
+    if _BOX.match(span) and not (sure and (western or out.isalpha()) and not drawn) and not (out.isalpha() and (before.isalpha() and before.isascii() or after.isalpha() and after.isascii())):
         return None  # a drawing
-    if cyrillic and not western and not _ONE_SCRIPT.match(out):
+    if cyrillic and not western and not (_ONE_SCRIPT.match(out) or sure and out.isalpha()):
         return None
     return out
 
 
+_decode_short = lru_cache(1 << 16)(_decode_span)
+
+
 @cache
-def _pair(page: str) -> re.Pattern:
-    """A lead byte and a continuation byte in the characters of a code page: what every span begins with."""
-    chars = byte_of(page)
-    cls = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in chars.items() if lo <= b <= hi) + "]"
-    return re.compile(cls(0xC2, 0xF4) + cls(0x80, 0xBF))
+def _pair(page: str) -> tuple[frozenset[str], frozenset[str], re.Pattern]:
+    """Lead bytes and continuation bytes in the characters of a code page, and one after the other: what every span begins with."""
+    lead, tail = (frozenset(c for c, b in byte_of(page).items() if lo <= b <= hi) for lo, hi in ((0xC2, 0xF4), (0x80, 0xBF)))
+    cls = lambda chars: "[" + "".join(map(re.escape, sorted(chars))) + "]"
+    return lead, tail, re.compile(cls(lead) + cls(tail))
+
+
+def _may_hold(page: str, odd: set[str], dense: str) -> bool:
+    """Whether ``dense``, whose characters are ``odd``, holds a lead byte followed by a continuation byte."""
+    lead, tail, pair = _pair(page)
+    return not (lead.isdisjoint(odd) or tail.isdisjoint(odd)) and pair.search(dense) is not None
 
 
 def _undo_utf8(text: str, page: str) -> tuple[str, int]:
@@ -115,7 +125,8 @@ def _undo_utf8(text: str, page: str) -> tuple[str, int]:
 
     def put(m: re.Match) -> str:
         nonlocal hits
-        out = _decode_span(text, m.start(), m.end(), page, sure)
+        a, b = m.span()
+        out = (_decode_short if b - a <= 16 else _decode_span)(m[0], text[a - 1 : a], text[b : b + 1], page, sure)
         if out is None:
             return m[0]
         hits += len(out)
@@ -214,13 +225,20 @@ def _level_one(c: str, codec: str, lo: int, hi: int) -> bool:
         return False
 
 
+@lru_cache(1 << 16)
+def _levels(c: str) -> tuple[bool, bool, bool]:
+    """Whether a character is a usual one of simplified, traditional or Japanese text."""
+    return _level_one(c, "gb2312", 0xB0, 0xD7), _level_one(c, "big5", 0xA4, 0xC6), _level_one(c, "cp932", 0x88, 0x97)
+
+
 def _sound_east(run: str) -> float:
     """Largest share of usual characters the run has as simplified, traditional, Japanese or Korean text."""
     plain = sum(c in "，。、：；！？「」（）《》“”‘’—…％" for c in run)
+    levels = [_levels(c) for c in run]
     shares = [
-        sum(_level_one(c, "gb2312", 0xB0, 0xD7) for c in run),
-        sum(_level_one(c, "big5", 0xA4, 0xC6) for c in run),
-        sum("\u3041" <= c <= "\u30ff" for c in run) * 2 + sum(_level_one(c, "cp932", 0x88, 0x97) for c in run) if any("\u3041" <= c <= "\u3096" for c in run) else 0,
+        sum(x[0] for x in levels),
+        sum(x[1] for x in levels),
+        sum("\u3041" <= c <= "\u30ff" for c in run) * 2 + sum(x[2] for x in levels) if any("\u3041" <= c <= "\u3096" for c in run) else 0,
         sum("\uac00" <= c <= "\ud7af" for c in run),
     ]
     return min(1.0, (max(shares) + plain) / len(run))
@@ -281,17 +299,15 @@ _WORDISH = {
 }
 
 
+@lru_cache(1 << 16)
+def _weight(word: str) -> int:
+    upper = word.isupper()
+    return sum(RUSSIAN.get(c.lower(), 0) for i, c in enumerate(word) if not i or upper or not c.isupper())
+
+
 def _russian(words: list[str]) -> float:
     """Mean frequency of the letters of words in thousandths; odd capitals and signs count nothing."""
-    total = n = 0
-    for w in words:
-        upper = w.isupper()
-        for i, c in enumerate(w):
-            n += 1
-            if i and c.isupper() and not upper:
-                continue
-            total += RUSSIAN.get(c.lower(), 0)
-    return total / n if n else 0.0
+    return sum(map(_weight, words)) / max(1, sum(map(len, words)))
 
 
 def _reread(text: str, pattern: re.Pattern, better: set[str], chars: dict[str, int], right: str) -> str:
@@ -356,9 +372,12 @@ _SIGN_ENDS = re.compile("(?<=[a-z]{3})[\xb9\xb3\xbf\xb1\xb6\xbc](?=[ ,.\n]|\\Z)|
 _CENTRAL_WORD = re.compile(r"[A-Za-z\x80-\x9f\xa1-\xffŒœŸŽžŠš]+")
 
 
-def _undo_central(text: str) -> tuple[str, int]:
-    """Central European text read as Western: signs such as the superscripts stand in the middle of words."""
-    if not _SIGN_IN_WORD.search(text):
+_SIGNS = frozenset("\xb9\xb3\xbf\xb1\xb6\xbc")
+
+
+def _undo_central(text: str, odd: set[str]) -> tuple[str, int]:
+    """Central European text read as Western: signs such as the superscripts stand in the middle of words. ``odd``: the characters of the text beyond ASCII."""
+    if _SIGNS.isdisjoint(odd) or not _SIGN_IN_WORD.search(text):
         return text, 0
     inside = len(_SIGN_IN_WORD.findall(text))
     least = 1 if inside + len(_SIGN_ENDS.findall(text)) > 1 else 3
@@ -390,11 +409,13 @@ _LEFT = re.compile(
     "|(?<=[ \n])\xc3(?= )|(?<=[0-9.,;:!?])\xc2(?= )"  # a no-break space that became a plain one
     "|\\b\xc3(?=[a-z]{2})|(?<=[a-z])\xc3(?=[a-z ,.])"  # a capital letter whose second byte was lost
 )
+#: What every match of the pattern above has in it.
+_LEFT_CHARS = frozenset("�\xef\xe2\xe3\xc3\xc2") | {chr(c) for c in range(0x80, 0xA0)}
+_LOWER_LEADS = frozenset("\xe3\xe2\xe4\xe5")
 _LOWER = re.compile("[\xe3\xe2\xe4\xe5][\xa1-\xac\xae-\xba\xbc-\xbfƒ†‡ˆ‰ŠŒŽ˜™šœžŸ€][\xa1-\xbf‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ€]*")
 
 
 _RUNS = re.compile(r"[^\x00-\x7f]{2,}")
-_EAST = re.compile("[\u2e80-\uffef]")
 #: Cyrillic, drawings, or four letters beyond ASCII in a row.
 _SUSPECT = re.compile("[\u0400-\u045f]{2}|[\u2500-\u259f][\u0400-\u045f]|[\xa8\xb8\xc0-\xff]{4}")
 
@@ -420,10 +441,53 @@ def _references(text: str) -> str:
     return _REFS.sub(lambda m: runs[m[0]] if m[0] in bad else m[0], text)
 
 
-def repair(text: str) -> tuple[bool, str | None]:
-    """(whether the text holds garbled characters, the restored text or None)."""
+def _beyond(text: str) -> set[str]:
+    return {c for c in set(text) if c > "\x7f"}
+
+
+def _one_round(now: str, odd: set[str]) -> tuple[str, str] | None:
+    """(the text with one layer of damage undone, by which way), or None. ``odd``: the characters of the text beyond ASCII."""
+    tries: list[tuple[int, int, str]] = []
+    by = "spans"
+    runs = set(_RUNS.findall(now)) if odd else ()
+    if runs:
+        dense = "\x00".join(runs)  # a span has no ASCII in it
+        tries += [(hits, -i, got) for i, page in enumerate(PAGES) if _may_hold(page, odd, dense) for got, hits in [_undo_utf8(now, page)] if hits]
+        east = any("\u2e80" <= c <= "\uffef" for c in odd)
+        if east:
+            found = set(_EAST_RUN.findall(now))
+            tries += [(hits, -20, got) for codec in ("gb18030", "cp932") for got, hits in [_undo_east(now, found, codec)] if hits >= 2]
+        if _western_run().search(dense):
+            got, hits = _undo_western_east(now)
+            if hits >= 3:
+                tries.append((hits, -30, got))
+        if not tries and east:
+            by = "letters"
+            got, hits = _undo_east_pair(now)
+            if hits:
+                tries.append((hits, -40, got))
+        if not tries and _SUSPECT.search(dense):
+            by = "letters"
+            got, hits = _undo_cyrillic(now)
+            if hits:
+                tries.append((hits, -40, got))
+    if not tries:
+        by = "letters"
+        got, hits = _undo_central(now, odd)
+        if hits:
+            tries.append((hits, -40, got))
+    if not tries and not _LOWER_LEADS.isdisjoint(odd) and len(_LOWER.findall(now)) > 1:
+        by = "remains"
+        got, hits = _undo_utf8(_LOWER.sub(_lift, now), "western")
+        if hits:
+            tries.append((hits, -50, got))
+    return (max(tries)[2], by) if tries else None
+
+
+def judged(text: str) -> tuple[str | None, str | None]:
+    """(how the text was found to be garbled or None, the restored text or None)."""
     if text.isascii() and "&" not in text:
-        return False, None
+        return None, None
     quoted: list[str] = []
 
     def hide(m: re.Match) -> str:
@@ -432,61 +496,42 @@ def repair(text: str) -> tuple[bool, str | None]:
         quoted.append(m[0])
         return f"\x00{len(quoted) - 1}\x00"
 
-    bare = _QUOTED.sub(hide, text)
+    bare = _QUOTED.sub(hide, text) if "`" in text else text
     now = _references(bare)
-    changed = now != bare
-    for _ in range(4):
-        runs = set(_RUNS.findall(now))
-        tries: list[tuple[int, int, str]] = []
-        if runs:
-            dense = "\x00".join(runs)  # a span has no ASCII in it
-            tries += [(hits, -i, got) for i, page in enumerate(PAGES) if _pair(page).search(dense) for got, hits in [_undo_utf8(now, page)] if hits]
-            if _EAST.search(dense):
-                east = set(_EAST_RUN.findall(now))
-                tries += [(hits, -20, got) for codec in ("gb18030", "cp932") for got, hits in [_undo_east(now, east, codec)] if hits >= 2]
-            if _western_run().search(dense):
-                got, hits = _undo_western_east(now)
-                if hits >= 3:
-                    tries.append((hits, -30, got))
-            if not tries and _EAST.search(dense):
-                got, hits = _undo_east_pair(now)
-                if hits:
-                    tries.append((hits, -40, got))
-            if not tries and _SUSPECT.search(dense):
-                got, hits = _undo_cyrillic(now)
-                if hits:
-                    tries.append((hits, -40, got))
-        if not tries:
-            got, hits = _undo_central(now)
-            if hits:
-                tries.append((hits, -40, got))
-        if not tries and len(_LOWER.findall(now)) > 1:
-            lifted = _LOWER.sub(_lift, now)
-            got, hits = _undo_utf8(lifted, "western")
-            if hits:
-                tries.append((hits, -50, got))
-        if not tries:
+    by = "spans" if now != bare else None
+    before = {now}
+    while True:  # as often as it was garbled; spans grow shorter every time, and no text comes twice
+        odd = _beyond(now)
+        undone = _one_round(now, odd)
+        if undone is None or undone[0] in before:
             break
-        now = max(tries)[2]
-        changed = True
-    found = changed or _LEFT.search(now) is not None
-    if not changed:
-        return found, None
-    return True, re.sub("\x00(\\d+)\x00", lambda m: quoted[int(m[1])], now)
+        now = undone[0]
+        by = by or undone[1]
+        before.add(now)
+    if by is None:
+        return "remains" if not _LEFT_CHARS.isdisjoint(odd) and _LEFT.search(now) else None, None
+    return by, re.sub("\x00([0-9]{1,9})\x00", lambda m: quoted[int(m[1])] if int(m[1]) < len(quoted) else m[0], now)
+
+
+def repair(text: str) -> tuple[bool, str | None]:
+    """(whether the text holds garbled characters, the restored text or None)."""
+    by, restored = judged(text)
+    return by is not None, restored
 
 
 def garbled(documents: DataFrame) -> DataFrame:
-    """The garbled documents: (doc_id, restored), ``restored`` null where nothing could be decoded."""
+    """The garbled documents: (doc_id, by, restored), ``restored`` null where nothing could be decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = [], []
+            ids, ways, texts = [], [], []
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                hit, restored = repair(text)
-                if hit:
+                by, restored = judged(text)
+                if by:
                     ids.append(key)
+                    ways.append(by)
                     texts.append(restored)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "restored"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ways, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "by", "restored"])
 
     suspect = documents.filter(F.col("text").rlike(r"[^\x00-\x7F]|&#?\w+;")).select("doc_id", "text")
-    return suspect.mapInArrow(run, "doc_id long, restored string")
+    return suspect.mapInArrow(run, "doc_id long, by string, restored string")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from silverloom.llm.mojibake import garbled, repair
+from silverloom.llm.mojibake import garbled, judged, repair
 
 SAMPLES = {
     "de": "Während der Wartung dürfen keine Löschungen größer als nötig ausgeführt werden.",
@@ -88,6 +88,38 @@ def test_what_cannot_be_restored_is_found():
     assert repair("") == (False, None)
 
 
+def test_garbled_as_often_as_you_like():
+    text = once = SAMPLES["de"]
+    for n in range(1, 8):
+        once = misread(once, "cp1252")
+        assert repair(once) == (True, text), n
+
+
+def test_quotes_of_any_length():
+    quote = "So sieht es falsch aus: `" + misread(SAMPLES["de"] * 5, "cp1252").replace("`", "") + "` – und so bleibt es."
+    assert repair(quote) == (False, None)
+    bad = misread("Größe", "cp1252")
+    assert repair(f"`{bad}` steht für {bad}") == (True, f"`{bad}` steht für Größe")
+    assert repair("\x007\x00 " + bad) == (True, "\x007\x00 Größe")
+
+
+@pytest.mark.parametrize("page,least", [("cp1252", 0.99), ("latin-1", 0.99), ("cp1250", 0.97), ("cp1251", 0.98), ("cp437", 0.97), ("cp850", 0.97), ("mac_roman", 0.97)])
+def test_restored_texts_equal_the_originals(page, least):
+    """Sound documents of the tables, garbled whole under each page."""
+    import duckdb
+
+    texts = duckdb.sql("SELECT DISTINCT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE length(text) < 4000").fetchall()
+    texts = sorted(t for (t,) in texts if t and not t.isascii() and "`" not in t and repair(t) == (False, None))[:250]
+    same = sum(repair(misread(t, page)) == (True, t) for t in texts)
+    print(page, len(texts), round(same / len(texts), 4))
+    assert len(texts) > 100 and same / len(texts) >= least
+
+
+def test_ways():
+    assert judged(misread(SAMPLES["de"], "cp1252"))[0] == "spans" and judged("La b�squeda")[0] == "remains" and judged(SAMPLES["ru"].encode("cp1251").decode("latin-1"))[0] == "letters"
+    assert judged("sound") == (None, None)
+
+
 def test_very_long_text():
     text = SAMPLES["de"] * 3000
     assert repair(misread(text, "cp1252")) == (True, text)
