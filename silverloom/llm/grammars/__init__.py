@@ -1,22 +1,36 @@
-"""Syntax checkers for the supported languages. Each takes a text and tells whether it is valid source, without building a tree."""
+"""Syntax checkers for the supported languages. Each takes a text and tells whether it is valid source, without building a tree.
+
+The parsers are recursive Python functions, whose frames lie on the heap. While one runs, the interpreter's recursion limit is raised to
+``FRAMES`` (some hundred MB, 200,000 nested brackets and more); a text nested deeper than that gets None, neither valid nor invalid.
+"""
 
 import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from silverloom.llm.grammars.ecma import valid_ecma
+from silverloom.llm.grammars.ecma import all_ecma, valid_ecma
 from silverloom.llm.grammars.go import valid_go
 from silverloom.llm.grammars.python3 import valid_python
 
-__all__ = ["CHECKERS", "valid_ecma", "valid_go", "valid_python"]
+__all__ = ["LANGUAGES", "parsed_as", "room", "valid_ecma", "valid_go", "valid_python"]
+
+FRAMES = 1_000_000
+#: JSX is part of the languages "jsx" and "tsx" only.
+LANGUAGES = ("python", "go", "javascript", "jsx", "typescript", "tsx")
+
+
+@contextmanager
+def room() -> Iterator[None]:
+    """Room for deeply nested texts."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, FRAMES))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
 
-# long chains of "else if" and deeply nested literals are valid source; frames of Python functions lie on the heap
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 30_000))
 
-#: Language name -> checker. JSX is part of the languages "jsx" and "tsx" only.
-CHECKERS = {
-    "python": valid_python,
-    "go": valid_go,
-    "javascript": lambda text: valid_ecma(text, ts=False, jsx=False),
-    "jsx": lambda text: valid_ecma(text, ts=False, jsx=True),
-    "typescript": lambda text: valid_ecma(text, ts=True, jsx=False),
-    "tsx": lambda text: valid_ecma(text, ts=True, jsx=True),
-}
+def parsed_as(text: str) -> dict[str, bool | None]:
+    """Whether a text is valid in each of the languages; None where it is nested too deeply to tell."""
+    with room():
+        return {"python": valid_python(text), "go": valid_go(text), **all_ecma(text)}

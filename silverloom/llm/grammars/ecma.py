@@ -21,14 +21,18 @@ MODIFIERS = frozenset("public private protected readonly abstract declare overri
 _SKIP = re.compile(r"(?:[ \t\r\n\v\f\xa0﻿  -     　]+|//[^\n\r  ]*|/\*.*?\*/)*", re.S)
 _TOKEN = re.compile(
     r"""(?P<name>(?:[A-Za-z_$]|[^\x00-\x7F\W]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)
+    | (?P<sign>[()\[\]{},;:~`@]|\.(?![0-9])(?:\.\.)?)
     | (?P<num>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:0|[1-9](?:_?[0-9])*)n
         |(?:(?:0|[1-9](?:_?[0-9])*)(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?)(?![\w$\\]))
     | (?P<str>"(?:[^"\\\n\r]|\\(?:\r\n|[^xu0-9]|0(?![0-9])|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}))*"
         |'(?:[^'\\\n\r]|\\(?:\r\n|[^xu0-9]|0(?![0-9])|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}))*')
     | (?P<priv>\#[A-Za-z_$][\w$]*)
-    | (?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[-+*/%&|^<>=!?()\[\]{},;.:~`@])""",
+    | (?P<op>>>>=|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[-+*/%&|^<>=!?])""",
     re.X | re.S,
 )
+_KINDS = ("", "name", "op", "num", "str", "priv", "op")
+#: White space and comments, then a token; the former are never given back for the latter.
+_NEXT = re.compile(f"(?-x:(?>{_SKIP.pattern}))(?:{_TOKEN.pattern})", re.X | re.S)
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r  ]|\\[^\n\r  ]|\[(?:[^\]\\\n\r  ]|\\[^\n\r  ])*\])+/([a-zA-Z0-9_$]*)")
 _FLAGS = re.compile(r"(?!.*(.).*\1)[dgimsuvy]*\Z")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\(?:[^xu0-9]|0(?![0-9])|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\})|\$(?!\{))*(`|\$\{)", re.S)
@@ -46,8 +50,9 @@ class _Bad(Exception):
 
 
 class _Ecma:
-    def __init__(self, src: str, ts: bool, jsx: bool):
-        self.s, self.ts, self.jsx = src, ts, jsx
+    def __init__(self, src: str, ts: bool, jsx: bool, scanned: dict[int, tuple[int, str, str, int]]):
+        self.s, self.ts, self._jsx, self.looked = src, ts, jsx, False
+        self.scanned = scanned  # position -> token there; the parsers of all languages share it
         self.in_fn = self.gen = False
         self.asyn = True  # await is a keyword at the top of a module
         self.ambient = self.cover = self.no_in = self.in_cond = self.no_cond_type = False
@@ -57,22 +62,26 @@ class _Ecma:
 
     # --- tokens
 
+    @property
+    def jsx(self) -> bool:
+        """Whether an angle bracket may open an element; ``looked`` tells afterwards whether this mattered."""
+        self.looked = True
+        return self._jsx
+
     def goto(self, pos: int) -> None:
         """Scans the token at or after ``pos``. tok: its text; kind: name, num, str, priv, op or ""; end: where it ends."""
-        m = _SKIP.match(self.s, pos)
-        self.before = pos
-        at = self.at = m.end()
-        self.nl = None
-        m = _TOKEN.match(self.s, at)
-        if m is None:
-            if at < len(self.s):
-                self.tok, self.kind, self.end = "\x01", "", at
-                return
-            self.tok, self.kind, self.end = "", "", at
-            return
-        self.kind = m.lastgroup
-        self.end = m.end()
-        self.tok = m[0]
+        self.before, self.nl = pos, None
+        found = self.scanned.get(pos)
+        if found is None:
+            m = _NEXT.match(self.s, pos)
+            if m is not None:
+                i = m.lastindex
+                found = m.start(i), m[i], _KINDS[i], m.end()
+            else:
+                at = _SKIP.match(self.s, pos).end()
+                found = at, "\x01" if at < len(self.s) else "", "", at
+            self.scanned[pos] = found
+        self.at, self.tok, self.kind, self.end = found
 
     def next(self) -> None:
         self.goto(self.end)
@@ -1646,10 +1655,27 @@ _STATEMENTS = {
 _TS_STATEMENTS = {"interface": _Ecma.interface, "type": _Ecma.alias, "namespace": _Ecma.namespace, "module": _Ecma.namespace, "declare": _Ecma.declare, "abstract": _Ecma.abstract}
 
 
-def valid_ecma(text: str, ts: bool = False, jsx: bool = False) -> bool:
-    """Whether ``text`` parses as a JavaScript module, or as TypeScript, with JSX if ``jsx``."""
+def _parses(parser: _Ecma) -> bool | None:
     try:
-        _Ecma(text.removeprefix("\ufeff"), ts, jsx).module()
-    except (_Bad, RecursionError):
+        parser.module()
+    except _Bad:
         return False
+    except (RecursionError, MemoryError):
+        return None
     return True
+
+
+def valid_ecma(text: str, ts: bool = False, jsx: bool = False) -> bool | None:
+    """Whether ``text`` parses as a JavaScript module, or as TypeScript, with JSX if ``jsx``; None if it is nested too deeply to tell."""
+    return _parses(_Ecma(text.removeprefix("\ufeff"), ts, jsx, {}))
+
+
+def all_ecma(text: str) -> dict[str, bool | None]:
+    """``valid_ecma`` for the four languages; the tokens are scanned once, and a text in which no element may begin is parsed once for both forms."""
+    src, scanned, out = text.removeprefix("\ufeff"), {}, {}
+    for ts, plain, with_elements in ((False, "javascript", "jsx"), (True, "typescript", "tsx")):
+        parser = _Ecma(src, ts, True, scanned)
+        out[plain] = out[with_elements] = _parses(parser)
+        if parser.looked:
+            out[plain] = _parses(_Ecma(src, ts, False, scanned))
+    return out

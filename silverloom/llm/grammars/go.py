@@ -13,16 +13,17 @@ UNARY = frozenset("+ - ! ^ * & <- ~".split())
 ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<= >>= &^=".split())
 
 _TOKEN = re.compile(
-    r"""[ \t\r]+ | (?P<nl>\n | //[^\n]*(?:\n|\Z) | /\*.*?\*/)
+    r"""[ \t\r]*+(?: (?P<nl>\n | //[^\n]*(?:\n|\Z) | /\*.*?\*/)
     | (?P<name>[^\W\d]\w*)
     | (?P<num>0[xX](?:_?[0-9a-fA-F])*\.?(?:[0-9a-fA-F](?:_?[0-9a-fA-F])*)?(?:[pP][+-]?[0-9](?:_?[0-9])*)?i?
         | 0[bB](?:_?[01])+i?(?![0-9]) | 0[oO](?:_?[0-7])+i?(?![0-9])
         | (?:[0-9](?:_?[0-9])*(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?i?)
     | (?P<str>"(?:[^"\\\n]|\\(?:[abfnrtv\\"]|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))*" | `[^`]*`
         | '(?:[^'\\\n]|\\(?:[abfnrtv\\']|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))')
-    | (?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{},;.:~])""",
+    | (?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{},;.:~]) | \Z)""",
     re.X | re.S,
 )
+_KINDS = ("", "nl", "name", "num", "str", "op")
 _ENDS = frozenset(["break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"])
 N, L = "\x01name", "\x01lit"  # kinds of names and literals; all other tokens stand for themselves
 
@@ -39,20 +40,21 @@ def _tokens(text: str) -> list[str]:
         m = match(text, pos)
         if m is None:
             raise _Bad
-        kind = m.lastgroup
+        i = m.lastindex
         pos = m.end()
-        if kind is None:
+        if i is None:
             continue
+        kind = _KINDS[i]
         if kind == "name":
-            v = m.group()
+            v = m[i]
             last = v if v in KEYWORDS else N
             add(last)
         elif kind == "nl":
-            if (last is N or last is L or last in _ENDS) and ("\n" in m.group() or pos == end):
+            if (last is N or last is L or last in _ENDS) and ("\n" in m[i] or pos == end):
                 add(";")
                 last = ";"
         elif kind == "op":
-            last = m.group()
+            last = m[i]
             add(last)
         else:
             last = L
@@ -632,10 +634,18 @@ class _Go:
         self.level = level
 
 
-def valid_go(text: str) -> bool:
-    """Whether ``text`` parses as a Go source file."""
+_PACKAGE = re.compile(r"(?>(?:[ \t\r\n]+|//[^\n]*|/\*.*?\*/)*)package\b", re.S)
+
+
+def valid_go(text: str) -> bool | None:
+    """Whether ``text`` parses as a Go source file; None if it is nested too deeply to tell."""
+    src = text.removeprefix("\ufeff")
+    if not _PACKAGE.match(src):
+        return False
     try:
-        _Go(_tokens(text.removeprefix("\ufeff"))).file()
-    except (_Bad, RecursionError, IndexError):
+        _Go(_tokens(src)).file()
+    except (_Bad, IndexError):
         return False
+    except (RecursionError, MemoryError):
+        return None
     return True

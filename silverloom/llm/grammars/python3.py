@@ -9,8 +9,8 @@ _STOP = "nonlocal _\n"
 _STOPPED = ("nonlocal declaration not allowed at module level", "from __future__ imports must occur at the beginning of the file", "future feature ")
 
 
-def valid_python(text: str) -> bool:
-    """Whether ``text`` parses as a Python 3 module (the grammar only: names, scopes and control flow are not judged)."""
+def valid_python(text: str) -> bool | None:
+    """Whether ``text`` parses as a Python 3 module (the grammar only: names, scopes and control flow are not judged); None if the parser's own stack does not suffice to tell."""
     if "\x00" in text:
         return False
     with warnings.catch_warnings():
@@ -19,6 +19,10 @@ def valid_python(text: str) -> bool:
             compile(_STOP + text.removeprefix("\ufeff"), "<text>", "exec", dont_inherit=True)
         except SyntaxError as e:
             return str(e.msg).startswith(_STOPPED)
-        except (ValueError, OverflowError, RecursionError, MemoryError):
+        except RecursionError:  # raised by the stages after the parser, which has accepted the text by then
+            return True
+        except MemoryError:
+            return None
+        except (ValueError, OverflowError):
             return False
     return True

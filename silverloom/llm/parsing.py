@@ -1,11 +1,12 @@
 """Source files that do not parse.
 
-Every file with a known extension is parsed in the language of its extension. One that fails is parsed in all other supported
-languages, in the order of a ranking by its words: the first success makes it a file with a wrong extension, none at all
-a corrupt one. Rates are given per project and language.
+Every file with a known extension is parsed in all supported languages, which are ranked by the words of the text. A file that is valid in the language of its
+extension is valid; else the first language of the ranking that accepts it shows a wrong extension, and if none does it is
+corrupt. Rates are given per project and language.
 
 Defined cases: null content or path, or an unknown extension: no row; an empty content is valid in every language but Go, which needs a
-package clause; texts are parsed whole; equal texts that follow each other in a task are parsed once; further columns are ignored.
+package clause; texts are parsed whole; a text nested too deeply for the parser of its language is "undecided" and no failure; equal texts that
+follow each other in a task are parsed once; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silverloom.llm.grammars import CHECKERS
+from silverloom.llm.grammars import parsed_as
 
 #: The language of each extension.
 LANGUAGE = {"py": "python", "go": "go", "js": "javascript", "mjs": "javascript", "jsx": "jsx", "ts": "typescript", "tsx": "tsx"}
@@ -42,38 +43,42 @@ def ranked(text: str) -> list[str]:
     return sorted(score, key=lambda lang: (-score[lang], lang not in favour, lang))
 
 
-def judge(text: str, language: str) -> tuple[str, str | None]:
-    """("valid", language), ("wrong extension", another language) or ("corrupt", None)."""
-    if CHECKERS[language](text):
+def judge(text: str, language: str, accepted: dict[str, bool | None] | None = None) -> tuple[str, str | None]:
+    """("valid", language), ("wrong extension", another language), ("corrupt", None) or ("undecided", None). ``accepted``: ``parsed_as(text)``."""
+    accepted = parsed_as(text) if accepted is None else accepted
+    if accepted[language]:
         return "valid", language
-    if text.strip():
-        for other in ranked(text):
-            if other != language and CHECKERS[other](text):
-                return "wrong extension", other
+    if accepted[language] is None:
+        return "undecided", None
+    others = [x for x in accepted if accepted[x]] if text.strip() else []
+    if others:
+        return "wrong extension", min(others, key=ranked(text).index)
     return "corrupt", None
 
 
-_SCHEMA = "delivery_id long, project string, language string, verdict string, parses_as string"
+FAILED = ("wrong extension", "corrupt")
+_SCHEMA = "delivery_id long, project string, language string, verdict string, parses_as string, accepted_by array<string>"
 
 
 def parsed_files(events: DataFrame, key: str = "delivery_id") -> DataFrame:
-    """A row (delivery_id, project, language, verdict, parses_as) for each row with content and a known extension."""
+    """A row (delivery_id, project, language, verdict, parses_as, accepted_by) for each row with content and a known extension; accepted_by: all languages that accept it."""
     ext = F.regexp_extract(F.lower("path"), r"\.([a-z]+)$", 1)
     todo = events.filter(F.col("content").isNotNull() & ext.isin(*LANGUAGE)).select(F.col(key).alias("delivery_id"), "project", ext.alias("ext"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, verdict = None, None
+        last, accepted = None, {}
         for batch in batches:
             languages = [LANGUAGE[x] for x in batch.column("ext").to_pylist()]
-            verdicts = []
+            verdicts, by = [], []
             for language, text in zip(languages, batch.column("content")):
                 text = text.as_py()
-                if last != (language, text):
-                    last, verdict = (language, text), judge(text, language)
-                verdicts.append(verdict)
+                if text != last:
+                    last, accepted = text, parsed_as(text)
+                verdicts.append(judge(text, language, accepted))
+                by.append([x for x in accepted if accepted[x]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("delivery_id"), batch.column("project"), pa.array(languages, pa.string()), pa.array([v[0] for v in verdicts], pa.string()), pa.array([v[1] for v in verdicts], pa.string())],
-                names=["delivery_id", "project", "language", "verdict", "parses_as"],
+                [batch.column("delivery_id"), batch.column("project"), pa.array(languages, pa.string()), pa.array([v[0] for v in verdicts], pa.string()), pa.array([v[1] for v in verdicts], pa.string()), pa.array(by, pa.list_(pa.string()))],
+                names=["delivery_id", "project", "language", "verdict", "parses_as", "accepted_by"],
             )
 
     return todo.mapInArrow(run, _SCHEMA)
@@ -86,5 +91,6 @@ def parse_rates(parsed: DataFrame) -> DataFrame:
         n.alias("n_files"),
         F.count_if(F.col("verdict") == "wrong extension").alias("n_wrong_extension"),
         F.count_if(F.col("verdict") == "corrupt").alias("n_corrupt"),
-        F.round(F.count_if(F.col("verdict") != "valid") / n, 6).alias("failure_rate"),
+        F.count_if(F.col("verdict") == "undecided").alias("n_undecided"),
+        F.round(F.count_if(F.col("verdict").isin(*FAILED)) / n, 6).alias("failure_rate"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from silverloom.llm.mixing import mix_sources
 from silverloom.llm.mojibake import garbled
 from silverloom.llm.packing import pack_documents
-from silverloom.llm.parsing import parse_rates, parsed_files
+from silverloom.llm.parsing import FAILED, parse_rates, parsed_files
 from silverloom.llm.provenance import classified
 from silverloom.llm.splitting import split_items
 
@@ -26,11 +26,12 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return parsed_files(_t(spark, sf, "file_events")).filter(F.col("verdict") != "valid").select("delivery_id")
+    return parsed_files(_t(spark, sf, "file_events")).filter(F.col("verdict").isin(*FAILED)).select("delivery_id")
 
 
 def p4_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return parsed_files(_t(spark, sf, "file_events"))
+    rows = parsed_files(_t(spark, sf, "file_events"))
+    return rows.withColumn("accepted_by", F.array_join("accepted_by", ","))
 
 
 def p4_rates(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ import warnings
 import duckdb
 import pytest
 
-from silverloom.llm.grammars import CHECKERS, valid_ecma, valid_go, valid_python
+from silverloom.llm.grammars import LANGUAGES, parsed_as, room, valid_ecma, valid_go, valid_python
 from silverloom.llm.parsing import judge, parse_rates, parsed_files, ranked
 
 GO = ["package a\n", 'package a\n\nimport "fmt"\n\nfunc f[T any, U ~int | string](x T, ys ...U) (n int, err error) {\n\tfor i, y := range ys {\n\t\tfmt.Println(i, y)\n\t}\n\treturn\n}\n',
@@ -98,15 +98,31 @@ def test_byte_order_mark():
 
 
 def test_deep_nesting_ends():
-    for name, check in CHECKERS.items():
-        assert check("(" * 100_000) is False, name
+    assert parsed_as("(" * 100_000) == dict.fromkeys(LANGUAGES, False)
 
 
 def test_long_chains_and_deep_literals():
-    chain = " else ".join(f"if (a === {i}) {{ b(); }}" for i in range(2000))
-    assert valid_ecma(chain) and valid_ecma("x = " + "[" * 1500 + "]" * 1500) and valid_ecma("x = " + " + ".join("a" for _ in range(50_000)))
-    go = "package a\nfunc f() {\n" + " else ".join(f"if a == {i} {{ b() }}" for i in range(2000)) + "\n}\n"
-    assert valid_go(go) and not valid_go(go[:-3])
+    chain = " else ".join(f"if (a === {i}) {{ b(); }}" for i in range(20_000))
+    go = "package a\nfunc f() {\n" + " else ".join(f"if a == {i} {{ b() }}" for i in range(20_000)) + "\n}\n"
+    with room():
+        assert valid_ecma(chain) and valid_ecma("x = " + "[" * 50_000 + "]" * 50_000) and valid_ecma("x = " + " + ".join("a" for _ in range(50_000)))
+        assert valid_go(go) and not valid_go(go[:-3]) and valid_go("package a\nvar x = " + "(" * 50_000 + "1" + ")" * 50_000)
+        assert valid_ecma("x = " + "[" * 50_000 + "]" * 49_999) is False
+
+
+def test_deep_python():
+    """A long sum is valid; what the interpreter's own parser cannot hold is neither valid nor invalid."""
+    assert valid_python("x = " + " + ".join(["a"] * 20_000)) is True and valid_python("x = " + " + ".join(["a"] * 20_000) + "\ny = (") is False
+    assert valid_python("if a:\n  b\n" + "elif a:\n  b\n" * 8000) is None
+    assert judge("if a:\n  b\n" + "elif a:\n  b\n" * 8000, "python") == ("undecided", None)
+
+
+def test_all_languages_at_once_equal_each_alone():
+    texts = GO + BAD_GO + JS + BAD_JS + TS + BAD_TS + JSX + BAD_JSX
+    texts += [r[0] for r in duckdb.sql("SELECT DISTINCT content FROM '/root/testdata/sf0.001/file_events.parquet' WHERE content IS NOT NULL").fetchall()]
+    for text in texts:
+        want = {"python": valid_python(text), "go": valid_go(text), "javascript": valid_ecma(text), "jsx": valid_ecma(text, jsx=True), "typescript": valid_ecma(text, ts=True), "tsx": valid_ecma(text, ts=True, jsx=True)}
+        assert parsed_as(text) == want, text[:80]
 
 
 def test_verdicts():
