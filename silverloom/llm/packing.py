@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from silverloom.llm.tokens import TOKENIZER, sized
 from silverloom.session import staged
 
-TIERS = 4
+TIERS, CHUNK = 4, 100_000
 
 
 def tier_of(length: int, capacity: int, tiers: int = TIERS) -> int:
@@ -73,17 +73,29 @@ def plan_containers(counts: dict[int, int], capacity: int, tiers: int = TIERS) -
     return plan
 
 
-def _ranges(plan: list) -> dict[int, tuple[np.ndarray, ...]]:
-    """length -> (first rank, pieces per container, first container) of each entry of the plan, by rank."""
-    at: dict[int, int] = {}
-    out: dict[int, list] = {}
-    container = 0
-    for _, times, pattern in plan:
-        for n, k in pattern:
-            out.setdefault(n, []).append((at.get(n, 0), k, container))
-            at[n] = at.get(n, 0) + k * times
-        container += times
-    return {n: tuple(np.array(x, np.int64) for x in zip(*rows)) for n, rows in out.items()}
+class Placement:
+    """Looks up the container of a piece from its length and its rank among the pieces of this length, whole arrays at once."""
+
+    def __init__(self, plan: list):
+        at: dict[int, int] = {}
+        rows: list[tuple[int, int, int, int]] = []
+        container = 0
+        for _, times, pattern in plan:
+            for n, k in pattern:
+                rows.append((n, at.get(n, 0), k, container))
+                at[n] = at.get(n, 0) + k * times
+            container += times
+        rows.sort()
+        entries = np.array(rows, np.int64).reshape(-1, 4)
+        lengths = sorted(at)
+        self.base = np.zeros(max(lengths, default=0) + 1, np.int64)  # number of shorter pieces, by length
+        self.base[lengths] = np.cumsum([0, *(at[n] for n in lengths)])[:-1]
+        self.rank, self.each, self.container = entries[:, 1], entries[:, 2], entries[:, 3]
+        self.first = self.base[entries[:, 0]] + self.rank
+
+    def __call__(self, lengths: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(self.first, self.base[lengths] + ranks, "right") - 1
+        return self.container[i] + (ranks - self.rank[i]) // self.each[i]
 
 
 def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER, group_size: int = 8, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -106,7 +118,7 @@ def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str = TOK
     by_task = staged(pieces.groupBy("pack_name", "length", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = by_task.groupBy("pack_name", "length").agg(F.sum("n").alias("n")).collect()  # at most the sum of the capacities
     plans = {name: plan_containers({r.length: r.n for r in histogram if r.pack_name == name}, cap) for name, cap in packs}
-    ranges = spark.sparkContext.broadcast({name: _ranges(p) for name, p in plans.items()})
+    placements = spark.sparkContext.broadcast({name: Placement(p) for name, p in plans.items()})  # at most a row for each length a container has
 
     earlier = Window.partitionBy("pack_name", "length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_task.select("pack_name", "length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
@@ -115,14 +127,13 @@ def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str = TOK
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for name, n, r in zip(batch.column("pack_name").to_pylist(), batch.column("length").to_pylist(), batch.column("rank").to_pylist()):
-                if not n:
-                    out.append(0)
-                    continue
-                first, each, container = ranges.value[name][n]
-                i = int(np.searchsorted(first, r, "right")) - 1
-                out.append(int(container[i] + (r - first[i]) // each[i]))
+            lengths, ranks = (np.asarray(batch.column(c)) for c in ("length", "rank"))
+            names = np.array(batch.column("pack_name").to_pylist(), dtype=object)
+            out = np.zeros(batch.num_rows, np.int64)
+            for name, placement in placements.value.items():
+                mine = np.flatnonzero((names == name) & (lengths > 0))
+                if len(mine):
+                    out[mine] = placement(lengths[mine], ranks[mine])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("pack_name", "doc_id", "part", "length")] + [pa.array(out, pa.int64())], names=["pack_name", "doc_id", "part", "n_tokens", "container_id"])
 
     key_type = dict(documents.dtypes)[key]
@@ -142,9 +153,12 @@ def pack_documents(documents: DataFrame, limits: DataFrame, tokenizer: str = TOK
     schema = "pack_name string, cap long, first long, times long, tier int, n_pieces long, used_tokens long, at long, groups long"
     pos = F.col("at") + F.col("i")
     lap, col = F.floor(pos / F.col("groups")), pos % F.col("groups")
+    # one pattern may fill a third of all containers: they are numbered in chunks that are spread over the tasks
+    chunks = spark.createDataFrame(rows, schema).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / CHUNK))))
+    if sum(row[3] for row in rows) > CHUNK:
+        chunks = chunks.repartition("pack_name", "first", "chunk")
     containers = (
-        spark.createDataFrame(rows, schema)
-        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+        chunks.withColumn("i", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("times"), (F.col("chunk") + 1) * CHUNK) - 1)))
         .select(
             "pack_name", (F.col("first") + F.col("i")).alias("container_id"), "tier", "n_pieces", "used_tokens", F.round(F.col("used_tokens") / F.col("cap"), 6).alias("fill"),
             F.when(lap % 2 == 0, col).otherwise(F.col("groups") - 1 - col).alias("step_group"),

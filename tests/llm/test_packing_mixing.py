@@ -2,10 +2,11 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from silverloom.llm.mixing import mix_sources, sainte_lague, shard_quotas
-from silverloom.llm.packing import _ranges, pack_documents, plan_containers, tier_of
+from silverloom.llm.mixing import drawn_texts, fill_gap, mix_sources, sainte_lague, shard_quotas
+from silverloom.llm.packing import Placement, pack_documents, plan_containers, tier_of
 from silverloom.llm.tokens import count_tokens
 
 SF = "/root/testdata/sf0.001"
@@ -25,8 +26,11 @@ def test_plan_places_every_piece_once(seed):
     assert placed == counts
     total, used = sum(n * c for n, c in counts.items()), sum(t for _, t, _ in plan)
     assert used <= math.ceil(total / cap) * 1.25 + 2 or used <= sum(c for n, c in counts.items() if n > cap // 2) + 2
-    for n, (first, each, container) in _ranges(plan).items():
-        assert list(first) == sorted(first) and (each > 0).all() and (container >= 0).all()
+    place, load = Placement(plan), Counter()
+    for n, c in counts.items():
+        for container in place(np.full(c, n), np.arange(c)).tolist():
+            load[container] += n
+    assert len(load) == sum(t for _, t, _ in plan) and max(load.values()) <= cap
 
 
 def test_tiers():
@@ -96,7 +100,8 @@ def test_apportionment():
 
 def test_shares_are_reached(spark):
     docs, targets = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/mix_targets.parquet")
-    drawn, shares, quotas = mix_sources(docs, targets, block_tokens=128)
+    draws, shares, quotas = mix_sources(docs, targets, block_tokens=128)
+    drawn = drawn_texts(draws)
     most = {r.source: r.max_repeats for r in targets.collect()}
     rows = drawn.collect()
     assert all(1 <= r.n_draws <= most[r.source] for r in rows)
@@ -106,9 +111,18 @@ def test_shares_are_reached(spark):
     for r in shares.collect():
         assert r.n_tokens == sum(x.n_tokens * x.n_draws for x in rows if x.source == r.source)
         assert abs(r.reached_share - r.n_tokens / total) < 1e-6 and abs(r.reached_share - r.target_share) < 0.01
-    again = mix_sources(docs.repartition(5), targets, block_tokens=128)[0]
+    again = drawn_texts(mix_sources(docs.repartition(5), targets, block_tokens=128)[0])
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
-    assert quotas.groupBy("shard").sum("n_blocks").count() == 8
+    quota = {(r.shard, r.source): r.n_blocks for r in quotas.collect()}
+    assert len({s for s, _ in quota}) == 8
+    for r in draws.collect():  # every draw lies in a block of its shard
+        start = sum(quota[j, r.source] for j in range(r.shard))
+        assert start <= r.block < start + quota[r.shard, r.source]
+    for j in range(8):  # each shard keeps to the mix, but for the texts at its borders
+        mine = Counter()
+        for r in draws.filter(f"shard = {j}").collect():
+            mine[r.source] += r.n_tokens
+        assert all(abs(mine[s] - 128 * quota[j, s]) <= 2 * max(x.n_tokens for x in rows if x.source == s) + 128 for s in most)
 
 
 def test_mixing_cases(spark):
@@ -118,12 +132,28 @@ def test_mixing_cases(spark):
     rows += [(200, words(200), "unknown", "x", 1), (201, None, "notes", "x", 1), (202, "", "notes", "x", 1), (203, words(203), None, "x", 1), (None, words(7), "notes", "x", 1)]
     docs = spark.createDataFrame(rows, schema)
     targets = spark.createDataFrame([("read_me", 0.5, 2), ("notes", 0.5, 3), ("gone", 0.2, 1), ("none", 0.1, None)], "source string, target_share double, max_repeats int")
-    drawn, shares, _ = mix_sources(docs, targets, block_tokens=16)
+    draws, shares, _ = mix_sources(docs, targets, block_tokens=16)
+    drawn = drawn_texts(draws)
     got = {r.source: r for r in shares.collect()}
     assert got["gone"].reached_share == got["none"].reached_share == 0.0
     assert abs(got["notes"].reached_share - 0.5) < 0.05 and abs(got["read_me"].reached_share - 0.5) < 0.05
     assert max(r.n_draws for r in drawn.collect() if r.source == "notes") <= 3
     assert {r.source for r in drawn.collect()} == {"read_me", "notes"}
+    twice = mix_sources(docs, targets, block_tokens=16, merge_equal=False)[0]
+    assert max(r.doc_id for r in twice.collect() if r.source == "read_me") >= 40 > max(r.doc_id for r in draws.collect() if r.source == "read_me")
     for d, t in ((docs.filter("false"), targets), (docs, targets.filter("false"))):
         e = mix_sources(d, t)
         assert e[0].count() == 0 and e[2].count() == 0
+
+
+def test_gaps_are_filled_without_a_limit():
+    assert fill_gap(100, {60: 1, 30: 5, 4: 9}) == {60: 1, 30: 1, 4: 2}
+    assert fill_gap(50, {1: 100}) == {1: 50} and fill_gap(0, {1: 1}) == {} and fill_gap(9, {}) == {}
+
+
+def test_very_many_containers_of_one_pattern(spark):
+    """The containers of one pattern come in chunks; no row holds an array of them all."""
+    docs = spark.range(1200).selectExpr("id AS doc_id", "repeat('word ', 300) AS text")
+    a, c = pack_documents(docs, spark.createDataFrame([("p", 1)], "pack_name string, capacity_tokens int"))
+    n = a.count()
+    assert n > 300_000 and c.count() == n and c.select("container_id").distinct().count() == n
