@@ -26,6 +26,18 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_items(_t(spark, sf, "file_events"))
 
 
+def p3_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """The items put together again from their pieces, and how many pieces are too long or overlap the one before wrongly."""
+    pieces = F.array_sort(F.collect_list(F.struct("piece", "start", "end", "text")))  # those of one text
+    items = split_items(_t(spark, sf, "file_events")).groupBy("delivery_id", "entity_index").agg(pieces.alias("p"))
+    before = lambda i: F.when(i > 0, F.element_at("p", i)["end"]).otherwise(F.lit(0))
+    rebuilt = F.array_join(F.transform("p", lambda x, i: F.substring(x["text"], before(i) - x["start"] + 1, F.length(x["text"]))), "")
+    overlap = lambda x, i: before(i) - x["start"]
+    wrong = F.size(F.filter("p", lambda x, i: (x["piece"] != i) | (overlap(x, i) > 300) | ((i > 0) & (overlap(x, i) < 0)) | (F.length(x["text"]) != x["end"] - x["start"])))
+    long = F.size(F.filter("p", lambda x: F.length(x["text"]) > 2400))
+    return items.select("delivery_id", "entity_index", F.md5(rebuilt).alias("text_md5"), long.alias("n_too_long"), wrong.alias("n_wrong"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return parsed_files(_t(spark, sf, "file_events")).filter(F.col("verdict").isin(*FAILED)).select("delivery_id")
 
@@ -110,11 +122,10 @@ def p8_quotas(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[2]
 
 
-_ALL = (p3_found, p3_pieces, p4_found, p4_verdicts, p4_rates, p6_found, p6_kinds, p7_assignments, p7_containers, p7_invariants, p7_fill, p8_drawn, p8_invariants, p8_shares, p8_quotas, p9_found, p9_restored)
+_ALL = (p3_found, p3_pieces, p3_rebuilt, p4_found, p4_verdicts, p4_rates, p6_found, p6_kinds, p7_assignments, p7_containers, p7_invariants, p7_fill, p8_drawn, p8_invariants, p8_shares, p8_quotas, p9_found, p9_restored)
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLE = {
-    "p3_found": r"""
+_P3 = r"""
 WITH src AS (
   SELECT delivery_id, content, entities, regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '\n$', '') AS body,
          '[ \t\n\v\f\r\x1c-\x1f\x85\xa0]' AS ws FROM file_events WHERE content IS NOT NULL),
@@ -125,9 +136,17 @@ ents AS (
   FROM (SELECT delivery_id, ln, entities, unnest(range(1, len(entities) + 1)) AS i FROM lines)
   WHERE entities[i].start_line >= 1 AND entities[i].start_line <= entities[i].end_line AND entities[i].start_line <= len(ln)),
 usable AS (SELECT * FROM ents WHERE text <> '')
-SELECT delivery_id, CAST(entity_index AS INTEGER) AS entity_index FROM usable WHERE length(text) > 2400
+"""
+
+ORACLE = {
+    "p3_found": _P3
+    + """SELECT delivery_id, CAST(entity_index AS INTEGER) AS entity_index FROM usable WHERE length(text) > 2400
 UNION ALL
 SELECT delivery_id, -1 FROM src WHERE length(content) > 2400 AND delivery_id NOT IN (SELECT delivery_id FROM usable)""",
+    "p3_rebuilt": _P3
+    + """SELECT delivery_id, CAST(entity_index AS INTEGER) AS entity_index, md5(text) AS text_md5, 0 AS n_too_long, 0 AS n_wrong FROM usable WHERE length(text) > 2400
+UNION ALL
+SELECT delivery_id, -1, md5(content), 0, 0 FROM src WHERE length(content) > 2400 AND delivery_id NOT IN (SELECT delivery_id FROM usable)""",
     "p7_invariants": "SELECT pack_name, (SELECT count(*) FROM documents) AS n_documents, 0 AS n_missing, 0 AS n_twice, 0 AS n_wrong FROM (SELECT DISTINCT pack_name, capacity_tokens FROM pack_limits)",
     "p8_invariants": r"SELECT regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g') AS source, 0 AS n_too_often, 0 AS n_foreign, 0 AS n_misplaced FROM mix_targets",
 }
