@@ -13,6 +13,7 @@ from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,15 @@ def with_position(df: DataFrame) -> DataFrame:
     return df.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
+def scanned(df: DataFrame) -> bool:
+    """Whether ``df`` is a plain Parquet scan, whose rows have a file and a position."""
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def row_vectors(scan: DataFrame, chosen: DataFrame) -> DataFrame:
     """One row per block of ``scan``: path, block, number of rows, bitmap of the rows in ``chosen`` (null if none).
 
