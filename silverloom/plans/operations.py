@@ -181,9 +181,12 @@ def _clean_stream(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame
 
 
 def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """The change feed applied as a stream: the same table as in one batch."""
+    """The change feed as files of a month of arrivals each, applied as a stream of micro-batches: the same table as in one batch."""
+    spool = new_folder(spark, "stream-spool")
+    feed = _t(spark, sf, "file_events").drop("entities").withColumn("month", F.coalesce(F.date_format("received_at", "yyyy-MM"), F.lit("0000-00")))
+    feed.repartition("month").write.partitionBy("month").parquet(spool)
     table = FileTable(spark, new_folder(spark, "stream-table"))
-    stream.fold_into_table(stream.event_stream(spark, f"{sf}/file_events.parquet"), table)
+    stream.fold_into_table(stream.event_stream(spark, spool, 3), table)
     return table.current().select("machine_id", "path", "event_id")
 
 

@@ -51,8 +51,12 @@ def p2_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _file_table(spark: SparkSession, sf: str) -> FileTable:
-    table = FileTable(spark, new_folder(spark, "file-table"))
-    table.apply(_t(spark, sf, "file_events"))
+    """The change feed, applied in batches as it was received: a batch a quarter, each merged with the table of those before."""
+    table, feed = FileTable(spark, new_folder(spark, "file-table")), _t(spark, sf, "file_events")
+    quarter = F.coalesce(F.year("received_at") * 10 + F.quarter("received_at"), F.lit(0))
+    for (q,) in sorted(tuple(r) for r in feed.select(quarter).distinct().collect()):  # a row per quarter
+        table.apply(feed, quarter == q)
+        table.vacuum(1)
     return table
 
 

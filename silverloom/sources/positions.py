@@ -54,17 +54,22 @@ def row_vectors(scan: DataFrame, chosen: DataFrame) -> DataFrame:
     return blocks.join(bits, [FILE, "block"], "left").select("path", "block", "n_rows", "bitmap")
 
 
-def _open(uri: str):
-    """Opens a file by the path Spark gives, in which special characters are percent-encoded."""
-    import pyarrow.parquet as pq
+def locate(uri: str):
+    """The pyarrow file system of a path and the path in it."""
     from pyarrow import fs
 
     parts = urlsplit(uri)
     if parts.scheme in ("", "file"):
-        system, path = fs.LocalFileSystem(), unquote(parts.path)
-    else:
-        system, base = fs.FileSystem.from_uri(f"{parts.scheme}://{parts.netloc}/")
-        path = base.rstrip("/") + "/" + unquote(parts.path).lstrip("/")
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/") if parts.scheme else uri
+    system, base = fs.FileSystem.from_uri(f"{parts.scheme}://{parts.netloc}/")
+    return system, base.rstrip("/") + "/" + uri.split(parts.netloc, 1)[1].lstrip("/")
+
+
+def _open(uri: str):
+    """Opens a file by the path Spark gives, in which special characters are percent-encoded."""
+    import pyarrow.parquet as pq
+
+    system, path = locate(unquote(uri))
     return pq.ParquetFile(system.open_input_file(path))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from silverloom.operators.changefeed import FileTable
-from silverloom.session import new_folder
+from silverloom.session import new_folder, remove_folder
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
@@ -56,12 +56,14 @@ def skip_unchanged(events: DataFrame) -> DataFrame:
 
 
 def fold_into_table(stream: DataFrame, table: FileTable) -> None:
-    """Every micro-batch is written once and applied to the bucketed table; a batch that comes again changes nothing, as newer rows win."""
+    """Every micro-batch is written once, applied to the bucketed table and removed; a batch that comes again changes nothing, as newer rows win."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         folder = new_folder(batch.sparkSession, f"batch-{batch_id}")
         batch.write.parquet(folder)
         table.apply(batch.sparkSession.read.parquet(folder))
+        remove_folder(batch.sparkSession, folder)
+        table.vacuum()
 
     run_all(stream, write, "fold")
 

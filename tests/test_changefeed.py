@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from silverloom.operators.changefeed import FileTable, whole_seconds
+from silverloom.operators.changefeed import FileTable, bucket_of, whole_seconds
 
 SCHEMA = "delivery_id long, event_id long, event_type string, path string, old_path string, project string, machine_id string, timestamp_seconds long, content_hash string, content string, sec string, live string, r int"
 
@@ -92,3 +92,44 @@ def test_batches_equal_one_fold(spark, tmp_path, seed):
 def test_units(spark):
     got = spark.createDataFrame([(1,), (1_700_000_000,), (1_700_000_000_999,), (1_700_000_000_999_999,), (1_700_000_000_999_999_999,), (None,)], "t long").select(whole_seconds(F.col("t")))
     assert [r[0] for r in got.collect()] == [1, 1_700_000_000, 1_700_000_000, 1_700_000_000, 1_700_000_000, None]
+
+
+def test_buckets_split_as_the_table_grows(spark, tmp_path, monkeypatch):
+    """Linear hashing: the number of buckets follows the size, each key is found in the bucket of its hash, and nothing is lost."""
+    import numpy as np
+
+    from silverloom.operators import changefeed
+
+    monkeypatch.setattr(changefeed, "BUCKET_BYTES", 2000)
+    rng, rows = random.Random(5), []
+    t = FileTable(spark, str(tmp_path / "t"), 2)
+    for k in range(4):
+        batch = [ev(1000 * k + i, "CREATE" if i % 7 else "DELETE", f"/{rng.randint(0, 150)}", 10**9 + rng.randint(0, 99), f"text {i}" * 5 if i % 7 else None) for i in range(200)]
+        rows += batch
+        t.apply(feed(spark, str(tmp_path / f"f{k}"), batch))
+        assert state(t) == fold(rows)
+    m = t.manifest()
+    assert m["buckets"] > 4
+    for b, files in m["files"].items():
+        h = np.array([r.h for r in spark.read.parquet(*files).select("h").collect()])
+        assert (bucket_of(h, m["buckets"]) == int(b)).all()
+    assert t.vacuum(1) > 0 and state(FileTable(spark, str(tmp_path / "t"))) == fold(rows)
+
+
+def test_only_one_writer_commits_a_version(spark, tmp_path):
+    t = FileTable(spark, str(tmp_path / "t"), 2)
+    t.apply(feed(spark, str(tmp_path / "f"), [ev(1, "CREATE", "/a", 5)]))
+    with pytest.raises(RuntimeError):
+        t._commit({**t.manifest(), "version": 1})
+    (tmp_path / "t" / "manifests" / "v00000002.json").write_text('{"version": 2, "buc')  # of a writer that died
+    assert state(t) == {("m", "/a"): 1}
+    assert t.apply(feed(spark, str(tmp_path / "g"), [ev(2, "CREATE", "/b", 5)])) == 3 and len(state(t)) == 2
+
+
+def test_part_of_a_feed(spark, tmp_path):
+    t = FileTable(spark, str(tmp_path / "t"), 4)
+    scan = feed(spark, str(tmp_path / "f"), [ev(1, "CREATE", "/a", 5), ev(2, "DELETE", "/a", 6, None), ev(3, "CREATE", "/b", 1)])
+    t.apply(scan, F.col("event_id") == 2)
+    assert state(t) == {}
+    t.apply(scan, F.col("event_id") != 2)  # the older creation comes late
+    assert state(t) == {("m", "/b"): 3}
