@@ -1,9 +1,10 @@
 """References to records that do not exist.
 
-``OrphanLedger`` keeps, for every key of a referenced table, how many rows with that key are alive and how many references of
-each period point at it. Batches of references and of arrivals and deletions of parents are applied one after the other:
-new references probe the parents as they were at that moment, arriving parents resolve the references that wait for them,
-deletions reopen them. After each batch the pending references are counted per table and period.
+``OrphanLedger`` keeps a keyed state: for every key of a referenced table how many rows with that key are alive, and how many references of each period point at it (those that found
+a parent too, as a deletion makes them orphans again). The state is a log of segments, one a batch, stored in hash buckets of the key. A batch of references and of
+arrivals and deletions of parents reads the state of its own keys only, and only the batch is shuffled for that; the rest of the state is not touched. New references probe the parents as they were
+at that moment, arriving parents resolve the references that wait for them, deletions reopen them; what this changes in the number of pending
+references is added to the counts per table and period, of which each batch leaves a snapshot. Segments are merged once there are ``SEGMENTS``.
 
 Within a batch all changes and references are brought into the order (key, moment, parents first) by range partitioning,
 each partition keeps a running number of living parents, and the numbers a key has from earlier partitions are added
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silverloom.functions.text import nfc
-from silverloom.session import staged
+from silverloom.session import bucketed, staged
 
 #: The table each kind of target refers to.
 TARGET_TABLE = {"file": "files", "symbol": "shared_symbols", "function": "entities", "class": "entities", "type": "entities", "interface": "entities"}
@@ -137,67 +138,78 @@ def _carries(summary: list) -> list[tuple[int, int]]:
     return out
 
 
+SEGMENTS = 8
+_STATE = "tbl string, kd binary, is_ref boolean, period string, n long, alive long"
+_COUNTS = ["n_references", "n_orphans", "n_pending"]
+
+
 @dataclass
 class OrphanLedger:
-    """State: ``parents`` (tbl, kd, alive) and ``waiting`` (tbl, kd, period, n), both None before the first batch."""
+    """State: ``segments`` (tbl, kd, is_ref, period, n, alive), whose sums are the references and living parents of each key; ``counts`` per table and period."""
 
     spark: SparkSession
-    parents: DataFrame | None = None
-    waiting: DataFrame | None = None
+    segments: list[DataFrame] = field(default_factory=list)
+    counts: DataFrame | None = None
     snapshots: list[DataFrame] = field(default_factory=list)
 
+    def _state_of(self, keys: DataFrame) -> DataFrame:
+        """The state of some keys (kd), by way of the buckets."""
+        found = self.spark.createDataFrame([], _STATE)
+        for segment in self.segments:
+            found = found.unionByName(segment.join(keys, "kd", "left_semi"))
+        return found.groupBy("tbl", "kd", "is_ref", "period").agg(F.sum("n").alias("n"), F.sum("alive").alias("alive"))
+
     def apply(self, log: DataFrame, label: str = "") -> DataFrame:
         """Applies one batch of references and parent changes, later than all earlier ones.
 
         Returns a row (ref, tbl, period, orphan) per reference, judged at its own moment, and keeps the new state and a snapshot.
         """
         columns = ["tbl", "kd", "at", "kind", "delta", "ref", "period"]
-        opened = log.select(*columns)
-        if self.parents is not None:
-            opened = opened.unionByName(
-                self.parents.select("tbl", "kd", F.lit(START).alias("at"), F.lit(0).alias("kind"), F.col("alive").alias("delta"), F.lit(None).cast("long").alias("ref"), F.lit(None).cast("string").alias("period"))
-            )
+        none = lambda t: F.lit(None).cast(t)
+        before = staged(self._state_of(log.select("kd").distinct()), "orphan-before")
+        opening = before.filter("NOT is_ref AND alive <> 0").select("tbl", "kd", F.lit(START).alias("at"), F.lit(0).alias("kind"), F.col("alive").alias("delta"), none("long").alias("ref"), none("string").alias("period"))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         order = ["kd", "at", "kind", "ref"]
-        swept = staged(opened.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT), "orphans")
+        swept = staged(log.select(*columns).unionByName(opening).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT), "orphans")
         summary = swept.filter(F.col("last").isNotNull()).select("pid", "kd", "first", "net").collect()  # two rows per partition at most
         carry = F.create_map(*[F.lit(x) for pair in _carries(summary) if pair[1] for x in pair] or [F.lit(-1), F.lit(0)])
         alive = F.col("alive") + F.when(F.col("first"), F.coalesce(carry[F.col("pid")], F.lit(0))).otherwise(0)
         judged = swept.filter(F.col("last").isNull()).select("ref", "tbl", "kd", "period", (alive <= 0).alias("orphan"))
 
-        parents = opened.filter("kind = 0").groupBy("tbl", "kd").agg(F.sum("delta").alias("alive"))
-        self.parents = staged(parents.filter("alive <> 0"), "orphan-parents")
-        waiting = judged.groupBy("tbl", "kd", "period").agg(F.count(F.lit(1)).alias("n"), F.count_if("orphan").alias("n_orphan"))
-        if self.waiting is not None:
-            waiting = waiting.unionByName(self.waiting).groupBy("tbl", "kd", "period").agg(F.sum("n").alias("n"), F.sum("n_orphan").alias("n_orphan"))
-        self.waiting = staged(waiting, "orphan-waiting")
-        pending = (
-            self.waiting.join(self.parents.select("kd", "alive"), "kd", "left")
-            .groupBy("tbl", "period")
-            .agg(F.sum("n").alias("n_references"), F.sum("n_orphan").alias("n_orphans"), F.sum(F.when(F.coalesce("alive", F.lit(0)) <= 0, F.col("n")).otherwise(0)).alias("n_pending"))
-        )
-        self.snapshots.append(pending.select(F.lit(label).alias("snapshot"), "tbl", "period", "n_references", "n_orphans", "n_pending"))
+        zero = F.lit(0).cast("long")
+        new_refs = judged.groupBy("tbl", "kd", "period").agg(F.count(F.lit(1)).alias("n")).select("tbl", "kd", F.lit(True).alias("is_ref"), "period", "n", zero.alias("alive"))
+        changes = log.filter("kind = 0").groupBy("tbl", "kd").agg(F.sum("delta").alias("alive")).select("tbl", "kd", F.lit(False).alias("is_ref"), none("string").alias("period"), zero.alias("n"), "alive")
+        segment = bucketed(new_refs.unionByName(changes), "orphan-state", "kd", n)
+
+        both = before.withColumn("fresh", F.lit(False)).unionByName(segment.withColumn("fresh", F.lit(True)))
+        was = lambda c: F.sum(F.when(~F.col("fresh"), F.col(c)).otherwise(0))
+        parents = both.filter("NOT is_ref").groupBy("kd").agg(was("alive").alias("alive_before"), F.sum("alive").alias("alive_after"))
+        refs = both.filter("is_ref").groupBy("tbl", "kd", "period").agg(was("n").alias("n_before"), F.sum("n").alias("n_after"))
+        waits = lambda alive, n: F.when(F.coalesce(alive, zero) <= 0, F.col(n)).otherwise(0)
+        pending = refs.join(parents, "kd", "left").groupBy("tbl", "period").agg(F.sum(waits(F.col("alive_after"), "n_after") - waits(F.col("alive_before"), "n_before")).alias("n_pending"))
+        seen = judged.groupBy("tbl", "period").agg(F.count(F.lit(1)).alias("n_references"), F.count_if("orphan").alias("n_orphans"))
+        rows = pending.select("tbl", "period", zero.alias("n_references"), zero.alias("n_orphans"), "n_pending").unionByName(seen.withColumn("n_pending", zero))
+        if self.counts is not None:
+            rows = rows.unionByName(self.counts)
+        self.counts = staged(rows.groupBy("tbl", "period").agg(*[F.sum(c).alias(c) for c in _COUNTS]), "orphan-counts")
+        self.snapshots.append(self.counts.select(F.lit(label).alias("snapshot"), "tbl", "period", *_COUNTS))
+        self.segments.append(segment)
+        if len(self.segments) >= SEGMENTS:
+            whole = self.segments[0]
+            for s in self.segments[1:]:
+                whole = whole.unionByName(s)
+            whole = whole.groupBy("tbl", "kd", "is_ref", "period").agg(F.sum("n").alias("n"), F.sum("alive").alias("alive")).filter("is_ref OR alive <> 0")
+            self.segments = [bucketed(whole, "orphan-state", "kd", n)]
         return judged.select("ref", "tbl", "period", "orphan")
 
 
-def run_ledger(log: DataFrame, epoch: Column, batches: int = 6) -> tuple[OrphanLedger, DataFrame]:
-    """Applies a whole log in the order of its epochs, neighbouring ones together until a batch holds a fair share of the rows. Gives the ledger and the judged references."""
+def run_ledger(log: DataFrame, epoch: Column) -> tuple[OrphanLedger, DataFrame]:
+    """Applies a whole log in the order of its epochs, a batch each. Gives the ledger and the judged references."""
     spark = log.sparkSession
     parts = staged(log.withColumn("epoch", epoch), "orphan-log", ["epoch"])
-    sizes = sorted(tuple(r) for r in parts.groupBy("epoch").count().collect())  # one row per epoch
-    least, ranges, held = sum(n for _, n in sizes) / batches, [], 0
-    for e, n in sizes:
-        if ranges and held < least:
-            ranges[-1][1], held = e, held + n
-        else:
-            ranges.append([e, e])
-            held = n
-    ledger, judged = OrphanLedger(spark), None
-    for lo, hi in ranges:
-        part = ledger.apply(parts.filter(F.col("epoch").between(lo, hi)), str(hi))
-        judged = part if judged is None else judged.unionByName(part)
-    if judged is None:
-        judged = spark.createDataFrame([], "ref long, tbl string, period string, orphan boolean")
+    ledger, judged = OrphanLedger(spark), spark.createDataFrame([], "ref long, tbl string, period string, orphan boolean")
+    for (e,) in sorted(tuple(r) for r in parts.select("epoch").distinct().collect()):  # one row per epoch
+        judged = judged.unionByName(ledger.apply(parts.filter(F.col("epoch") == e), str(e)))
     return ledger, judged
 
 

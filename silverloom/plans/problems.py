@@ -97,7 +97,18 @@ judged AS (
   WHERE r.tbl IS NOT NULL GROUP BY r.relation_id, r.tbl, r.observed_at)
 """
 
+_EPOCH = "CASE WHEN {0} IS NULL THEN 0 ELSE year({0}) * 10 + CASE WHEN month({0}) > 6 THEN 2 ELSE 1 END END"
+_P2_LIVES = f"""
+lives AS (SELECT tbl, key, CASE WHEN tbl = 'files' THEN 0 ELSE {_EPOCH.format("a")} END AS ea, CASE WHEN b IS NOT NULL THEN {_EPOCH.format("b")} END AS eb FROM parents WHERE tbl = 'files' OR b IS NULL OR b > a),
+r AS (SELECT j.relation_id, j.tbl, refs.key, j.observed_at, {_EPOCH.format("j.observed_at")} AS e, j.there FROM judged j JOIN refs USING (relation_id)),
+epochs AS (SELECT e FROM r UNION SELECT ea FROM lives UNION SELECT eb FROM lives WHERE eb IS NOT NULL),
+now AS (SELECT x.e AS snapshot, r.relation_id, any_value(r.tbl) AS tbl, any_value(r.observed_at) AS observed_at, bool_and(r.there) AS there, coalesce(bool_or(l.ea <= x.e AND (l.eb IS NULL OR l.eb > x.e)), false) AS there_now
+  FROM epochs x JOIN r ON r.e <= x.e LEFT JOIN lives l ON l.tbl = r.tbl AND l.key = r.key GROUP BY 1, 2)
+"""
+
 ORACLE = {
+    "p2_snapshots": _P2.rstrip() + "," + _P2_LIVES + """SELECT CAST(snapshot AS VARCHAR) AS snapshot, tbl, strftime(observed_at, '%Y-%m') AS period, count(*) AS n_references,
+         count(*) FILTER (WHERE NOT there) AS n_orphans, count(*) FILTER (WHERE NOT there_now) AS n_pending FROM now GROUP BY 1, 2, 3""",
     "p1_found": _P1 + "SELECT delivery_id FROM ranked WHERE rn > 1",
     "p1_delivered_once": _P1 + "SELECT delivery_id, batch_id, machine_id, id, md5(payload) AS payload_md5 FROM ranked WHERE rn = 1",
     "p2_found": _P2 + "SELECT relation_id FROM judged WHERE NOT there",

@@ -35,9 +35,11 @@ def build_session(app: str = "silverloom", cpus: int | None = None, memory: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="silverloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -82,6 +84,14 @@ def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
+    """As ``staged``, in ``n`` hash buckets of a key: a join on the key shuffles the other side only."""
+    spark = df.sparkSession
+    path, name = new_folder(spark, label), f"silverloom_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers, wherever the driver found it. Once per application."""
     context = spark.sparkContext
