@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from silverloom.functions.text import nfc
 from silverloom.operators.changefeed import whole_seconds
+from silverloom.sources.positions import FILE, ROW, read_rows, row_vectors, with_position
 
 
 def clean_events(events: DataFrame) -> DataFrame:
@@ -17,6 +18,17 @@ def clean_events(events: DataFrame) -> DataFrame:
     )
 
 
+def last_contents(scan: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the last CREATE or MODIFY with content of each (machine, path), with path in NFC and sec; ``scan`` is a plain Parquet scan of file events.
+
+    The winners are found by narrow rows; their contents are then read by position, so that none is shuffled.
+    """
+    narrow = clean_events(with_position(scan).select("event_id", "delivery_id", "event_type", "path", "old_path", "machine_id", "timestamp_seconds", F.col("content").isNotNull().alias("full"), FILE, ROW))
+    last = narrow.filter(F.col("event_type").isin("CREATE", "MODIFY") & F.col("full")).groupBy("machine_id", "path").agg(F.max(F.struct("sec", "event_id", FILE, ROW)).alias("m"))
+    wide = read_rows(row_vectors(scan, last.select(f"m.{FILE}", f"m.{ROW}")), scan.select(*columns, "timestamp_seconds").schema)
+    return wide.withColumns({"path": nfc(F.col("path")), "sec": whole_seconds(F.col("timestamp_seconds"))}).select(*columns, "sec")
+
+
 def delete_fanout(events: DataFrame) -> DataFrame:
     """(machine_id, path, sec, event_id) of everything a DELETE or RENAME removes: the path and, if another, the old path."""
     paths = F.array_distinct(F.array_compact(F.array("path", "old_path")))

@@ -61,8 +61,8 @@ def sync_tokens(index: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def cache_key(backend: Column, model: Column, text: Column) -> Column:
-    """Key of a query embedding: the trimmed text as it is, as case may matter to a model."""
-    return F.sha2(F.concat_ws(":", backend, model, F.lit("query"), F.trim(text)), 256)
+    """Key of a query embedding: the trimmed text in lower case."""
+    return F.sha2(F.concat_ws(":", backend, model, F.lit("query"), F.lower(F.trim(text))), 256)
 
 
 def cached_embeddings(cache: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,9 +75,8 @@ def cached_embeddings(cache: DataFrame, queries: DataFrame) -> tuple[DataFrame,
 
 def chunk_points(events: DataFrame) -> DataFrame:
     """Vector rows (id, machine_id, project, file_path, entity, chunk_no, start_line, end_line, snippet, text) of clean events with content."""
-    e = events.filter(F.length("content") < MAX_EMBED_CHARS)
-    chunks = chunking.file_chunks(e.select("event_id", "content", "entities"), ["event_id"])
-    rows = chunks.join(e.select("event_id", "machine_id", "project", F.col("path").alias("file_path")), "event_id")
+    e = events.filter(F.length("content") < MAX_EMBED_CHARS).withColumnRenamed("path", "file_path")
+    rows = chunking.file_chunks(e, ["machine_id", "project", "file_path"])
     ident = point_id(F.col("machine_id"), F.coalesce("project", F.lit("")), F.col("file_path"), F.col("entity"), F.col("chunk_no"))
     return rows.select(ident.alias("id"), "machine_id", "project", "file_path", "entity", "chunk_no", "start_line", "end_line", "snippet", "text")
 

@@ -55,7 +55,8 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.clean_events(_t(spark, sf, "file_events").drop("entities"))
+    """Clean events; of the content only whether there is any, as nothing here asks for more and it would be shuffled."""
+    return ingest.clean_events(_t(spark, sf, "file_events").drop("entities").withColumn("content", F.when(F.col("content").isNotNull(), F.lit(""))))
 
 
 def hash_short_circuit(spark: SparkSession, sf: str) -> DataFrame:

@@ -131,8 +131,7 @@ def cached_embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_points(spark: SparkSession, sf: str) -> DataFrame:
     """Vector rows of all last contents of the change feed."""
-    e = ingest.clean_events(_t(spark, sf, "file_events"))
-    last = graph.last_by(e.filter(F.col("event_type").isin("CREATE", "MODIFY") & F.col("content").isNotNull()), ["machine_id", "path"], ["sec", "event_id"])
+    last = ingest.last_contents(_t(spark, sf, "file_events"), ["event_id", "machine_id", "project", "path", "content", "entities"])
     return store.chunk_points(last).select("id", "entity", "chunk_no", "start_line", "end_line")
 
 
@@ -254,7 +253,7 @@ t AS (SELECT file_id, 0 AS field, unnest(regexp_extract_all(strip_accents(lower(
 SELECT field, term, count(DISTINCT file_id) AS n_files, count(*) AS n_tokens FROM t GROUP BY 1, 2""",
     "vector_upsert": """WITH e AS (SELECT vec_id % 97 AS id, vec_id, label FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY label >= 5 DESC, vec_id DESC) AS rn FROM e)
 SELECT id, vec_id, label FROM r WHERE rn = 1 AND label <> 2""",
-    "query_cache_keys": "SELECT doc_id, sha256(concat_ws(':', 'hash', 'v1', 'query', trim(source))) AS cache_key FROM documents",
+    "query_cache_keys": "SELECT doc_id, sha256(concat_ws(':', 'hash', 'v1', 'query', lower(trim(source)))) AS cache_key FROM documents",
     "cached_embedding_lookup": "SELECT doc_id AS qid, CAST(64 AS INTEGER) AS dim FROM documents WHERE source IS NOT NULL",
     "jobs_upsert": """WITH f AS (SELECT machine_id, project, file_path AS path, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY machine_id, project, file_path ORDER BY updated_at DESC NULLS LAST, file_id DESC) AS rn FROM files WHERE file_path LIKE '%.go' AND project IS NOT NULL) WHERE rn = 1),
 n AS (SELECT machine_id, project, path, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY machine_id, project, path ORDER BY delivery_id DESC) AS rn FROM file_events WHERE path LIKE '%.go' AND content_hash IS NOT NULL AND content IS NOT NULL AND project IS NOT NULL) WHERE rn = 1),

@@ -70,9 +70,9 @@ def test_query_cache(spark):
     key = store.cache_key(F.lit("b"), F.lit("m"), F.col("query"))
     q = spark.createDataFrame([(1, " Find X "), (2, "Find X"), (3, "find x")], "qid int, query string").withColumn("cache_key", key)
     got, cache = store.cached_embeddings(spark.createDataFrame([], "cache_key string, embedding array<float>"), q)
-    assert got.count() == 3 and cache.count() == 2
+    assert got.count() == 3 and cache.count() == 1  # blanks around and case do not matter
     got2, cache2 = store.cached_embeddings(cache, q)
-    assert sorted(map(tuple, got2.select("qid").collect())) == [(1,), (2,), (3,)] and cache2.count() == 2
+    assert sorted(map(tuple, got2.select("qid").collect())) == [(1,), (2,), (3,)] and cache2.count() == 1
 
 
 def test_jobs(spark):
