@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silverloom.functions.identifiers import entity_overlap, identifier_tokens, path_overlap, query_tokens, strip_home
+from silverloom.functions.identifiers import STOP_WORDS, entity_overlap, identifier_tokens, path_overlap, query_tokens, strip_home
 from silverloom.operators import evaluation, fusion, lexical, vector
+from silverloom.session import staged
 
 KEYS = ["machine_id", "project", "file_path"]
 #: The searches the queries run: identifiers, words, a path, a repeated and an empty term.
 SEARCHES = [(1, "flush manifest ledger"), (2, "HashSnapshot compactBatch"), (3, "internal/luban outbox.go tombstone"), (4, "render render cursor -- digest"), (5, "what is the lease of a parser")]
 SEARCH_SQL = ", ".join(f"({i}, '{q}')" for i, q in SEARCHES)
-STOP_SQL = "['a','an','and','are','as','at','be','by','for','from','how','i','in','is','it','of','on','or','that','the','this','to','was','what','when','where','which','who','why','will','with']"
+STOP_SQL = "[" + ",".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -28,8 +29,9 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "files").select("file_id", "machine_id", F.coalesce("project", F.lit("")).alias("project"), "file_path", "content")
 
 
-def _bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.bm25(lexical.tokenised(_files(spark, sf), ["file_id", *KEYS]), lexical.query_phrases(_searches(spark)), ["file_id", *KEYS])
+def _bm25(spark: SparkSession, sf: str, stored: bool = False) -> DataFrame:
+    keys = ["file_id", *KEYS]
+    return lexical.bm25(lexical.index_files(_files(spark, sf), keys, stored), lexical.query_phrases(_searches(spark)), keys)
 
 
 def lexical_query_terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,6 +50,18 @@ def lexical_bm25_top10(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("qid", "rank", "file_id", F.round("score", 6).alias("score"))
 
 
+def lexical_indexed_top10(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by way of the stored index."""
+    top = lexical.top_k(_bm25(spark, sf, True), 10, [*KEYS, "file_id"], 6)
+    return top.select("qid", "rank", "file_id", F.round("score", 6).alias("score"))
+
+
+def lexical_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits as they are given out, with snippet and the constant score."""
+    top = lexical.top_k(_bm25(spark, sf), 10, [*KEYS, "file_id"], 6)
+    return lexical.hit_rows(top, _files(spark, sf), ["file_id"]).select("qid", "rank", "file_id", "score", F.md5("snippet").alias("snippet_md5"))
+
+
 def lexical_scoped_global_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Scores under the statistics of all tenants, then only one project's files."""
     scoped = _bm25(spark, sf).filter("project = 'lattice-core'")
@@ -57,7 +71,7 @@ def lexical_scoped_global_stats(spark: SparkSession, sf: str) -> DataFrame:
 def lexical_phrase(spark: SparkSession, sf: str) -> DataFrame:
     """Hits of terms that are phrases of several tokens."""
     q = spark.createDataFrame([(1, "rank_list node_map"), (2, "edge_set.claim lib/luban")], "qid int, query string")
-    hits = lexical.phrase_hits(lexical.tokenised(_files(spark, sf), ["file_id"]), lexical.query_phrases(q), ["file_id"])
+    hits = lexical.phrase_hits(lexical.index_files(_files(spark, sf), ["file_id"], False), lexical.query_phrases(q), ["file_id"])
     return hits.select("file_id", "qid", "phrase_no", "tf")
 
 
@@ -91,62 +105,43 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("m"), F.col("doc_id") % 3).alias("machine_id"), F.coalesce("lang", F.lit("")).alias("project"), F.concat(F.lit("/src/"), F.col("source"), F.lit("/doc_"), "doc_id", F.lit(".txt")).alias("file_path"), "text")
 
 
-def _hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Semantic hits (chunks: vector v is chunk v % 2 of document v // 2) and lexical hits for the vector queries."""
-    top = vector_cosine_top10(spark, sf)
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts to the query vectors: the first 120 characters of the vector's document."""
+    v = _query_vectors(spark, sf).select("qid", F.floor(F.col("qid") / 2).alias("doc_id"))
+    return v.join(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id", "left").select("qid", F.coalesce(F.substring("text", 1, 120), F.lit("")).alias("query"))
+
+
+def _fused(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest chunks of the query vectors (vector v is chunk v % 2 of document v // 2) fused with the BM25 hits of the query texts over the same documents."""
     d = _documents(spark, sf)
     e = _t(spark, sf, "embeddings").select("vec_id", "label")
     semantic = (
-        top.join(e, "vec_id").withColumn("doc_id", F.floor(F.col("vec_id") / 2)).join(d, "doc_id")
-        .select("qid", "machine_id", "project", "file_path", "rank", F.substring("text", 1, 500).alias("snippet"), F.concat(F.lit("RankLabel"), "label").alias("entity"))
+        vector_cosine_top10(spark, sf).join(e, "vec_id").withColumn("doc_id", F.floor(F.col("vec_id") / 2)).join(d, "doc_id")
+        .select("qid", *KEYS, "rank", F.substring("text", 1, 500).alias("snippet"), F.concat(F.lit("RankLabel"), "label").alias("entity"))
     )
-    lex = vector_scoped_top10(spark, sf).withColumn("doc_id", F.floor(F.col("vec_id") / 2)).join(d, "doc_id").groupBy("qid", "machine_id", "project", "file_path").agg(F.min("rank").alias("rank"), F.first(F.substring("text", 1, 500)).alias("snippet"))
-    return semantic, lex
+    files = d.withColumnRenamed("text", "content")
+    index = lexical.index_files(files, ["doc_id"])
+    scored = lexical.bm25(index, lexical.query_phrases(_queries(spark, sf)), ["doc_id"]).join(d.drop("text"), "doc_id")
+    top = staged(lexical.top_k(scored, 10, [*KEYS, "doc_id"], 6), "lexical-top")
+    lex = lexical.hit_rows(top, files, ["doc_id"]).join(d.drop("text"), "doc_id").select("qid", *KEYS, "rank", "snippet")
+    return fusion.fuse(semantic, lex)
 
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
-    fused = fusion.fuse(*_hits(spark, sf))
-    return fused.select(*fusion.KEYS, F.round("score", 9).alias("score"))
+    return _fused(spark, sf).select(*fusion.KEYS, F.round("score", 9).alias("score"))
 
 
 def snippet_rule(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.fuse(*_hits(spark, sf)).select(*fusion.KEYS, F.md5("snippet").alias("snippet_md5"))
+    return _fused(spark, sf).select(*fusion.KEYS, F.md5("snippet").alias("snippet_md5"))
 
 
 def matched_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.fuse(*_hits(spark, sf)).select(*fusion.KEYS, F.array_join("matched_entities", ",").alias("entities"))
+    return _fused(spark, sf).select(*fusion.KEYS, F.array_join("matched_entities", ",").alias("entities"))
 
 
 def hybrid_boosted_top10(spark: SparkSession, sf: str) -> DataFrame:
-    semantic, lex = _hits(spark, sf)
-    queries = _query_vectors(spark, sf).select("qid", F.concat(F.lit("rank issue label3 doc"), F.col("qid")).alias("query"))
-    top = fusion.boosted(fusion.fuse(semantic, lex), queries)
-    return top.select("qid", "rank", "file_path", F.round("score", 6).alias("score"))
-
-
-def _document_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """The texts to the query vectors: the first 120 characters of the vector's document."""
-    v = _query_vectors(spark, sf).select("qid", F.floor(F.col("qid") / 2).alias("doc_id"))
-    return v.join(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id", "left").select("qid", F.coalesce(F.substring("text", 1, 120), F.lit("")).alias("query"))
-
-
-def _fulltext_fused(spark: SparkSession, sf: str) -> DataFrame:
-    """Semantic hits fused with the BM25 hits of the query texts over the same documents."""
-    d = _documents(spark, sf)
-    tokens = lexical.tokenised(d.withColumn("content", F.col("text")), ["doc_id"])
-    scored = lexical.bm25(tokens, lexical.query_phrases(_document_queries(spark, sf)), ["doc_id"]).join(d.drop("text"), "doc_id")
-    top = lexical.top_k(scored, 10, [*KEYS, "doc_id"], 6)
-    lex = top.join(d.select("doc_id", F.substring("text", 1, 500).alias("snippet")), "doc_id").select("qid", *KEYS, "rank", "snippet")
-    return fusion.fuse(_hits(spark, sf)[0], lex)
-
-
-def hybrid_fulltext_fused(spark: SparkSession, sf: str) -> DataFrame:
-    fused = _fulltext_fused(spark, sf)
-    return fused.select(*fusion.KEYS, F.round("score", 9).alias("score"), F.md5("snippet").alias("snippet_md5"), F.array_join("matched_entities", ",").alias("entities"))
-
-
-def hybrid_fulltext_top10(spark: SparkSession, sf: str) -> DataFrame:
-    top = fusion.boosted(_fulltext_fused(spark, sf), _document_queries(spark, sf))
+    """Hybrid search, the flagship: vectors and full text fused, boosted by path and entity overlap."""
+    top = fusion.boosted(_fused(spark, sf), _queries(spark, sf))
     return top.select("qid", "rank", "file_path", F.round("score", 6).alias("score"))
 
 
@@ -205,8 +200,8 @@ def eval_hit_mrr(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    lexical_query_terms, lexical_index_stats, lexical_bm25_top10, lexical_scoped_global_stats, lexical_phrase, vector_cosine_top10, vector_scoped_top10, vector_index_top10, vector_index_recall,
-    rrf_fuse, snippet_rule, matched_entities, hybrid_boosted_top10, hybrid_fulltext_fused, hybrid_fulltext_top10, ident_tokens, home_prefix_strip, path_overlap_counts, entity_overlap_counts, eval_jaccard, eval_gate_a, eval_gate_b, eval_gate, eval_hit_mrr,
+    lexical_query_terms, lexical_index_stats, lexical_bm25_top10, lexical_indexed_top10, lexical_hits, lexical_scoped_global_stats, lexical_phrase, vector_cosine_top10, vector_scoped_top10, vector_index_top10, vector_index_recall,
+    rrf_fuse, snippet_rule, matched_entities, hybrid_boosted_top10, ident_tokens, home_prefix_strip, path_overlap_counts, entity_overlap_counts, eval_jaccard, eval_gate_a, eval_gate_b, eval_gate, eval_hit_mrr,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -285,20 +280,21 @@ ORACLE = {
     "lexical_query_terms": _LEX + "SELECT qid, CAST(phrase_no AS INTEGER) AS phrase_no, term, array_to_string(tokens, ' ') AS tokens FROM phrases WHERE len(tokens) > 0",
     "lexical_index_stats": _LEX + "SELECT token AS term, count(DISTINCT file_id) AS n_docs, count(*) AS n_tokens FROM toks GROUP BY 1",
     "lexical_bm25_top10": _LEX + _RANKED.format(""),
+    "lexical_indexed_top10": _LEX + _RANKED.format(""),
+    "lexical_hits": _LEX + "SELECT qid, CAST(rn AS INTEGER) AS rank, file_id, CAST(1.0 AS DOUBLE) AS score, md5(left(coalesce(content, ''), 500)) AS snippet_md5 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, machine_id, project, file_path, file_id) AS rn FROM scores) JOIN (SELECT file_id, content FROM files) USING (file_id) WHERE rn <= 10",
     "lexical_scoped_global_stats": _LEX + _RANKED.format("WHERE project = 'lattice-core'"),
     "lexical_phrase": _LEX.replace(SEARCH_SQL, "(1, 'rank_list node_map'), (2, 'edge_set.claim lib/luban')") + "SELECT file_id, qid, CAST(phrase_no AS INTEGER) AS phrase_no, tf FROM tf",
     "vector_cosine_top10": _VEC + "SELECT qid, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 10",
     "vector_scoped_top10": _VEC + "SELECT qid, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM scoped WHERE rank <= 10",
-    "rrf_fuse": _FUSE + "SELECT qid, machine_id, project, file_path, round(score, 9) AS score FROM fused",
-    "snippet_rule": _FUSE + "SELECT qid, machine_id, project, file_path, md5(snippet) AS snippet_md5 FROM fused",
-    "matched_entities": _FUSE + "SELECT qid, machine_id, project, file_path, coalesce(array_to_string(ents, ','), '') AS entities FROM fused",
-    "hybrid_boosted_top10": _FUSE + f""",
-qs AS (SELECT qid, list_filter({_ident("'rank issue label3 doc' || qid")}, lambda t: NOT list_contains({STOP_SQL}, t)) AS tokens FROM q),
+    "rrf_fuse": _TEXT_FUSE + "SELECT qid, machine_id, project, file_path, round(score, 9) AS score FROM fused",
+    "snippet_rule": _TEXT_FUSE + "SELECT qid, machine_id, project, file_path, md5(snippet) AS snippet_md5 FROM fused",
+    "matched_entities": _TEXT_FUSE + "SELECT qid, machine_id, project, file_path, coalesce(array_to_string(ents, ','), '') AS entities FROM fused",
+    "hybrid_boosted_top10": _TEXT_FUSE + f""",
+qs AS (SELECT qid, list_filter({_ident("query")}, lambda t: NOT list_contains({STOP_SQL}, t)) AS tokens FROM searches),
 boosted AS (SELECT f.qid, machine_id, project, file_path, first_seen, score + CASE WHEN len(tokens) > 0 THEN (1.0 / 21) * (0.30 * len(list_filter(tokens, lambda t: len(list_filter({_ident(_LAST4)}, lambda p: starts_with(p, t))) > 0))
    + 0.50 * len(list_filter(tokens, lambda t: list_contains({_ident("array_to_string(coalesce(ents, []), '/')")}, t)))) / len(tokens) ELSE 0 END AS score FROM fused f JOIN qs USING (qid)),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, file_path, first_seen, machine_id, project) AS rn FROM boosted)
 SELECT qid, CAST(rn AS INTEGER) AS rank, file_path, round(score, 6) AS score FROM r WHERE rn <= 10""",
-    "hybrid_fulltext_fused": _TEXT_FUSE + "SELECT qid, machine_id, project, file_path, round(score, 9) AS score, md5(snippet) AS snippet_md5, coalesce(array_to_string(ents, ','), '') AS entities FROM fused",
     "ident_tokens": f"SELECT entity_id, array_to_string(list_sort({_ident('name')}), ' ') AS tokens FROM entities",
     "home_prefix_strip": f"SELECT file_id, {_HOME.format('file_path')} AS stripped FROM files",
     "path_overlap_counts": f"""
@@ -319,4 +315,3 @@ FROM (SELECT avg(ok::INT) AS pa, count(*) AS n FROM ga), (SELECT count(*) FILTER
     "eval_hit_mrr": _CAP + """, rel AS (SELECT qid, 'f' || (qid // 2) AS file_path FROM q), hit AS (SELECT rel.qid, min(b.rank) AS first FROM rel LEFT JOIN b ON b.qid = rel.qid AND b.file_path = rel.file_path GROUP BY rel.qid)
 SELECT count(*) AS n_queries, round(avg(coalesce((first <= 1)::INT, 0)), 6) AS hit_1, round(avg(coalesce((first <= 3)::INT, 0)), 6) AS hit_3, round(avg(coalesce((first <= 10)::INT, 0)), 6) AS hit_10, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM hit""",
 }
-ORACLE["hybrid_fulltext_top10"] = _TEXT_FUSE + ORACLE["hybrid_boosted_top10"][len(_FUSE) :].replace(_ident("'rank issue label3 doc' || qid"), _ident("query")).replace(" AS tokens FROM q)", " AS tokens FROM searches)")

@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Folders below the shared one that this driver made.
@@ -84,6 +85,11 @@ def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Marks a table of narrow rows for broadcast if it has at most ``rows``; a larger one is joined by a shuffle. Counts it, so it should be cheap to compute."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def bucketed(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     """As ``staged``, in ``n`` hash buckets of a key: a join on the key shuffles the other side only."""
     spark = df.sparkSession

@@ -47,7 +47,7 @@ def test_fusion(spark):
 def test_lexical(spark):
     files = spark.createDataFrame([(1, "/x/a.go", "alpha beta"), (2, "/y/b.go", "beta beta beta"), (3, "/z/c.py", None), (4, "/z/a/b.go", "")], "id int, file_path string, content string")
     q = spark.createDataFrame([(1, "beta"), (2, "a/b.go"), (3, "--"), (4, ""), (5, "beta beta")], "qid int, query string")
-    s = {(r.qid, r.id): r.score for r in lexical.bm25(lexical.tokenised(files, ["id"]), lexical.query_phrases(q), ["id"]).collect()}
+    s = {(r.qid, r.id): r.score for r in lexical.bm25(lexical.index_files(files, ["id"]), lexical.query_phrases(q), ["id"]).collect()}
     assert {k for k in s if k[0] == 2} == {(2, 4)} and not any(k[0] in (3, 4) for k in s)
     assert s[5, 2] == pytest.approx(2 * s[1, 2]) and s[1, 2] > s[1, 1]
 
