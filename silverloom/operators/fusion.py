@@ -38,3 +38,9 @@ def boosted(fused: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     scored = fused.join(tokens, "qid").withColumn("score", F.col("score") + boost).drop("tokens")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "file_path", "first_seen", "machine_id", "project"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def results(top: DataFrame) -> DataFrame:
+    """Hits in the shape a search gives them out (``SEARCH_RESULT``), with qid and rank to tell them apart; none of its fields is null."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return top.select("qid", "rank", text("file_path"), text("machine_id"), text("project"), text("snippet"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matched_entities", F.array().cast("array<string>")).alias("matched_entities"))

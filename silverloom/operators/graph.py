@@ -54,7 +54,7 @@ def merged_edges(relations: DataFrame, entities: DataFrame) -> DataFrame:
     )
     rest = [c for c in shaped.columns if c not in (*EDGE, "observed_at", "relation_id")]
     last = shaped.groupBy(*EDGE).agg(F.max(F.struct("observed_at", "relation_id", *rest)).alias("m"))
-    return last.select(*EDGE, *[F.col(f"m.{c}").alias(c) for c in rest])
+    return last.select(*EDGE, *[F.col(f"m.{c}").alias(c) for c in (*rest, "observed_at", "relation_id")])
 
 
 def graph_nodes(entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -70,6 +70,13 @@ def graph_nodes(entities: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def node_projects(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, project) of every node that edges touch: an entity has its own project, a file, module or symbol that of the newest edge that named it."""
+    own = entities.select(node_id(F.col("machine_id"), F.col("file_path"), F.col("name")).alias("id"), "project")
+    named = edges.filter("from_kind = 'File'").select(F.col("from_id").alias("id"), "project", "observed_at", "relation_id").unionByName(edges.filter("to_kind <> 'Entity'").select(F.col("to_id").alias("id"), "project", "observed_at", "relation_id"))
+    return own.unionByName(named.groupBy("id").agg(F.max(F.struct("observed_at", "relation_id", "project")).alias("m")).select("id", "m.project"))
+
+
 def detach_files(edges: DataFrame, files: DataFrame) -> DataFrame:
     """The edges that stay when the entities and nodes of ``files`` (machine_id, file_path) are deleted with all that is attached to them."""
     gone = files.select("machine_id", "file_path").distinct()
@@ -87,14 +94,19 @@ def orphan_symbols(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind").isin("Module", "UnresolvedSymbol", "ResolvedSymbol")).join(used, "id", "left_anti")
 
 
-def dependencies(nodes: DataFrame, edges: DataFrame, name: str, direction: str = "both", machine_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+def dependencies(nodes: DataFrame, edges: DataFrame, name: str, direction: str = "both", machine_id: str | None = None, project: str | None = None, projects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) one step around all entities of a name: phase 0 root, 1 upstream, 2 downstream, 3 imports of the containing file.
 
     Any other direction than upstream, downstream and both gives the roots only. Nodes come once, by their first phase; edges are not merged.
+    With ``project`` the roots and both ends of every edge must be of it, by ``projects`` (id, project).
     """
     scope = (lambda d: d.filter(F.col("machine_id") == machine_id)) if machine_id else (lambda d: d)
     roots = scope(nodes.filter((F.col("kind") == "Entity") & (F.col("name") == name))).select("id", "machine_id", "file_path")
     followed = scope(edges.filter(F.col("relation").isin(*TRAVERSED)))
+    if project:
+        inside = projects.filter(F.col("project") == project).select("id").distinct()
+        roots = roots.join(inside, "id", "left_semi")
+        followed = followed.join(inside.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(inside.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(*edges.columns)
     parts = []
     root_ids = roots.select(F.col("id").alias("__sl_root")).distinct()
     if direction in ("upstream", "both"):
@@ -121,6 +133,22 @@ def capped(seen: DataFrame, found: DataFrame, max_nodes: int = MAX_NODES, max_ed
     return nodes, both.orderBy("phase", *EDGE).limit(max_edges)
 
 
+def look_up_summary(seen: DataFrame, found: DataFrame, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> DataFrame:
+    """One row about a look-up: what the caps leave, what there was before, whether they cut nodes or edges between kept nodes, and edges per group."""
+    nodes, _ = capped(seen, found, max_nodes, max_edges)
+    ids = nodes.select("id")
+    inside = found.join(F.broadcast(ids.withColumnRenamed("id", "from_id")), "from_id", "left_semi").join(F.broadcast(ids.withColumnRenamed("id", "to_id")), "to_id", "left_semi")  # at most max_nodes rows
+    kept = inside.orderBy("phase", *EDGE).limit(max_edges)
+    names = sorted({g for gs in GROUPS.values() for g in gs})
+    groups = edge_groups(kept).agg(*[F.count_if(F.col("edge_group") == g).alias(g) for g in names])
+    n = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
+    counts = n(seen, "full_node_count").crossJoin(n(found, "full_edge_count")).crossJoin(n(inside, "__sl_inside")).crossJoin(groups)  # one row each
+    return counts.select(
+        F.least("full_node_count", F.lit(max_nodes)).cast("long").alias("node_count"), F.least("__sl_inside", F.lit(max_edges)).cast("long").alias("edge_count"), "full_node_count", "full_edge_count",
+        (F.col("full_node_count") > max_nodes).alias("nodes_truncated"), (F.col("__sl_inside") > max_edges).alias("edges_truncated"), *names,
+    )
+
+
 def edge_groups(edges: DataFrame) -> DataFrame:
     """A row (edge_group, edge columns) for every group an edge belongs to; unknown relations are "other"."""
     table = F.create_map(*[x for k, v in GROUPS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
@@ -132,7 +160,9 @@ def edge_summary(edges: DataFrame) -> DataFrame:
 
 
 def file_dependencies(entities: DataFrame, pairs: DataFrame, relation: str = "DEPENDS_ON") -> DataFrame:
-    """Entity-to-entity edges between the entities of two files, for given file pairs (machine_id, from_path, to_path)."""
+    """Entity-to-entity edges between the entities of two files, for given file pairs (machine_id, from_path, to_path). Other relations than those of a look-up are refused."""
+    if relation not in TRAVERSED:
+        raise ValueError(f"unknown relation {relation}")
     a = entities.select("machine_id", F.col("file_path").alias("from_path"), F.col("name").alias("from_name"))
     b = entities.select("machine_id", F.col("file_path").alias("to_path"), F.col("name").alias("to_name"))
     return pairs.distinct().join(a, ["machine_id", "from_path"]).join(b, ["machine_id", "to_path"]).withColumn("relation", F.lit(relation))

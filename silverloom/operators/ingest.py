@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,55 @@ def ignored(path: Column) -> Column:
     return F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED))) | F.coalesce(F.try_element_at(parts, F.lit(-1)).rlike("(" + "|".join(e.replace(".", "\\.") for e in IGNORED_ENDINGS) + ")$"), F.lit(False))
 
 
+def ignore_rules(lines: list[str]) -> list[tuple[str, bool]]:
+    """The rules of an ignore file as (pattern of paths relative to its folder, whether it ignores them), in order; the last that matches counts."""
+    rules = []
+    for line in lines:
+        line = re.sub(r"(?<!\\)\s+$", "", line.rstrip("\r\n"))
+        if not line or line.startswith("#"):
+            continue
+        ignores, line = not line.startswith("!"), line.removeprefix("!")
+        line = line[1:] if line[:2] in ("\\#", "\\!") else line
+        folder, body = line.endswith("/"), line.strip("/")
+        if not body:
+            continue
+        out = "^" if "/" in line.rstrip("/") else "^(?:.*/)?"
+        for part in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|\[!?[^\]]+\]|\\.|.", body):
+            if part == "**/":
+                out += "(?:.*/)?"
+            elif part == "/**":
+                out += "/.*"
+            elif part in ("*", "**"):
+                out += "[^/]*" if part == "*" else ".*"
+            elif part == "?":
+                out += "[^/]"
+            elif part[0] == "[" and len(part) > 1:
+                out += part.replace("[!", "[^")
+            else:
+                out += re.escape(part[-1])
+        rules.append((out + ("/.*$" if folder else "(?:/.*)?$"), ignores))
+    return rules
+
+
+def ignored_by(path: Column, lines: list[str] = (), docker_lines: list[str] = (), globs: list[str] = ()) -> Column:
+    """Whether a relative path is ignored: by the names that are never watched, by .gitignore or .dockerignore lines, or by globs for its last component."""
+    out = ignored(path)
+    for rules in (ignore_rules(list(lines)), ignore_rules(list(docker_lines))):
+        verdict = F.lit(False)
+        for pattern, ignores in rules:
+            verdict = F.when(path.rlike(pattern), ignores).otherwise(verdict)
+        out = out | verdict
+    for glob in globs:
+        out = out | F.element_at(F.split(path, "/"), -1).rlike("^" + "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in glob) + "$")
+    return out
+
+
+def with_fallback(events: DataFrame, machine_id: Column, project: Column) -> DataFrame:
+    """Events without a machine or project of their own get those of their batch."""
+    own = lambda c: F.nullif(F.col(c), F.lit(""))
+    return events.withColumns({"machine_id": F.coalesce(own("machine_id"), machine_id), "project": F.coalesce(own("project"), project)})
+
+
 def longest_prefix(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, project): the project of the longest root that contains the path, else the name of the parent folder.
 

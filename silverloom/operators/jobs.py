@@ -72,12 +72,64 @@ def auto_replay(jobs: DataFrame, now_ms: int, min_age_ms: int, max_replays: int,
     return seen.filter(is_transient(F.col("last_error"))).orderBy("job_id").limit(batch).select("job_id", F.lit("pending").alias("state"), (F.col("replay_count") + 1).alias("replay_count"), "attempt_count")
 
 
-def emitted_ticks(digests: DataFrame, every: int = 24) -> DataFrame:
-    """Ticks (tick, digest) to report: the digest changed, or every 24th."""
-    from pyspark.sql import Window
+def auto_replay_tick(jobs: DataFrame, now_ms: int, min_age_ms: int, max_replays: int, cursor: int, batch: int, rounds: int = 10) -> tuple[list[int], int]:
+    """(ids of the jobs to be replayed, the cursor for the next tick).
+
+    Pages of ``batch`` candidates are read from the cursor on, at most ``rounds`` of them; transient ones are replayed up to ``batch``, others passed over. At the end it goes on from the beginning, once
+    nothing is left there it stops. The cursor stands before the first candidate that no longer had room.
+    """
+    picked: list[int] = []
+    while len(picked) < batch and rounds > 0:
+        page = replay_candidates(jobs.filter(~F.col("job_id").isin(picked)), now_ms, min_age_ms, max_replays, cursor, batch).select("job_id", is_transient(F.col("last_error")).alias("t")).orderBy("job_id").collect()  # a page
+        if not page:
+            if cursor == 0:
+                break
+            cursor = 0
+            continue
+        rounds -= 1
+        for job, transient in page:
+            if transient and len(picked) >= batch:
+                break
+            if transient:
+                picked.append(job)
+            cursor = job
+    return picked, cursor
+
+
+def manual_replay(jobs: DataFrame, ids: DataFrame, now_ms: int) -> DataFrame:
+    """Jobs put back by hand (job_id): pending at once, one replay more, the attempts as they were."""
+    hit = jobs.join(ids.select("job_id").distinct(), "job_id", "left_semi")
+    return hit.select("job_id", F.lit("pending").alias("state"), (F.col("replay_count") + 1).alias("replay_count"), "attempt_count", F.lit(now_ms).cast("long").alias("next_attempt_at"), F.lit(None).cast("long").alias("dead_at"))
+
+
+def coalesced(requests: DataFrame, capacity: int) -> DataFrame:
+    """(machine_id, path, content_hash, n_requests) that a worker holds after requests (seq, machine_id, path, content_hash): the last of each path; new paths beyond ``capacity`` are turned away."""
+    ok = requests.filter((F.coalesce("path", F.lit("")) != "") & (F.coalesce("content_hash", F.lit("")) != ""))
+    held = ok.groupBy("machine_id", "path").agg(F.min("seq").alias("first"), F.max_by("content_hash", "seq").alias("content_hash"), F.count(F.lit(1)).alias("n_requests"))
+    return held.orderBy("first").limit(capacity).select("machine_id", "path", "content_hash", "n_requests")
+
+
+class RelationCache:
+    """Resolved relations by (root, path, hash) in the driver's memory; at most ``limit`` keys, of which the one put first goes first."""
+
+    def __init__(self, limit: int):
+        self.limit, self._held = max(0, limit), {}
+
+    def get(self, root: str, path: str, content_hash: str) -> list | None:
+        found = self._held.get((root, path, content_hash))
+        return None if found is None else list(found)
+
+    def put(self, root: str, path: str, content_hash: str, relations: list) -> None:
+        if self.limit:
+            self._held[root, path, content_hash] = list(relations)
+            while len(self._held) > self.limit:
+                del self._held[next(iter(self._held))]
+
 
-    before = F.lag("digest").over(Window.orderBy("tick"))
-    return digests.withColumn("b", before).filter(F.col("b").isNull() | (F.col("b") != F.col("digest")) | (F.col("tick") % every == 0)).select("tick", "digest")
+def emitted_ticks(digests: DataFrame, every: int = 24) -> DataFrame:
+    """Ticks (tick, digest) to report: the digest changed, or every 24th. Ticks are numbered without gaps; each is compared with the one before by a join."""
+    before = digests.select((F.col("tick") + 1).alias("tick"), F.col("digest").alias("b"))
+    return digests.join(before, "tick", "left").filter(F.col("b").isNull() | (F.col("b") != F.col("digest")) | (F.col("tick") % every == 0)).select("tick", "digest")
 
 
 def upsert_jobs(jobs: DataFrame, new: DataFrame, now_ms: int) -> DataFrame:

@@ -8,10 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silverloom.functions.extraction import embedded
+from silverloom.functions.embedding import get_embedder
 from silverloom.functions.identifiers import point_id
 from silverloom.functions.text import index_tokens
 from silverloom.operators import chunking, graph, ingest, stats, tree
+from silverloom.session import staged
+from silverloom.sources.schema import RELATION
 
 MAX_EMBED_CHARS = 100_000
 
@@ -69,7 +71,7 @@ def cached_embeddings(cache: DataFrame, queries: DataFrame) -> tuple[DataFrame,
     """(embeddings of all queries, cache with the new ones). Cache: cache_key, embedding. Queries: qid, cache_key, query."""
     hit = queries.join(cache, "cache_key")
     fresh = queries.join(cache, "cache_key", "left_anti")
-    made = embedded(fresh.groupBy("cache_key").agg(F.min("query").alias("query")), "cache_key", "query", "search_query: ")
+    made = get_embedder().embedded(fresh.groupBy("cache_key").agg(F.min("query").alias("query")), "cache_key", "query", "query")
     return hit.select("qid", "embedding").unionByName(fresh.join(made, "cache_key").select("qid", "embedding")), cache.unionByName(made)
 
 
@@ -81,9 +83,32 @@ def chunk_points(events: DataFrame) -> DataFrame:
     return rows.select(ident.alias("id"), "machine_id", "project", "file_path", "entity", "chunk_no", "start_line", "end_line", "snippet", "text")
 
 
+def event_relations(events: DataFrame) -> DataFrame:
+    """The relations events bring along, as rows of the relations table; of equal ones the later event counts."""
+    r = events.select("machine_id", "project", F.col("path").alias("file_path"), "sec", "event_id", F.explode("relations").alias("r"))
+    return r.select(
+        "machine_id", "project", "file_path", F.col("r.type").alias("relation_type"), *[F.col(f"r.{c}") for c in ("source", "target", "target_type", "line", "confidence", "layer", "status", "symbol_id")],
+        F.timestamp_seconds("sec").alias("observed_at"), F.col("event_id").alias("relation_id"),
+    )
+
+
+def reindex_events(files: DataFrame, skip_machines: list[str] | None = None) -> DataFrame:
+    """The content table as events that renew it: a MODIFY of each file with its true hash, without entities and relations."""
+    rows = files.filter(~F.col("machine_id").isin(skip_machines)) if skip_machines else files
+    none = F.lit(None)
+    return rows.filter("content IS NOT NULL").select(
+        F.xxhash64("machine_id", "file_path").alias("event_id"), F.lit("MODIFY").alias("event_type"), F.col("file_path").alias("path"), none.cast("string").alias("old_path"), "project", "machine_id",
+        F.lit(0).cast("long").alias("sec"), F.sha2("content", 256).alias("content_hash"), "content", F.from_json(F.lit("[]"), "array<struct<name:string,type:string,line:int,start_line:int,end_line:int>>").alias("entities"),
+        F.from_json(F.lit("[]"), f"array<{RELATION}>").alias("relations"),
+    )
+
+
 @dataclass
 class Corpus:
-    """All tables of a corpus. ``ingest`` gives the corpus after a batch of clean events; vectors and hashes are renewed together."""
+    """All tables of a corpus. ``ingest`` gives the corpus after a batch of clean events; vectors and hashes are renewed together.
+
+    Nodes of modules and symbols are those that edges lead to, so that one without edges is gone at once.
+    """
 
     files: DataFrame
     tokens: DataFrame
@@ -93,7 +118,10 @@ class Corpus:
     pending: list[str] = field(default_factory=list)
 
     def ingest(self, events: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> Corpus:
-        """Deletes first, then upserts. Files whose hash is known keep graph and vectors; a failing ``embed`` leaves vectors and hashes as they were."""
+        """Deletes first, then upserts. Files whose hash is known keep graph and vectors; a failing ``embed`` leaves vectors and hashes as they were.
+
+        A changed file loses its entities and edges and gets those of its event; events with relations but without content add these to the graph as it stands.
+        """
         gone = ingest.delete_fanout(events).select("machine_id", F.col("path").alias("file_path")).distinct()
         live = events.filter(F.col("event_type").isin("CREATE", "MODIFY") & F.col("content").isNotNull())
         last = graph.last_by(live, ["machine_id", "path"], ["sec", "event_id"])
@@ -103,7 +131,7 @@ class Corpus:
         put = last.select("machine_id", "project", F.col("path").alias("file_path"), "content", "content_hash")
         touched = changed.select("machine_id", F.col("path").alias("file_path"))
         try:
-            fresh = (embed or (lambda p: p))(chunk_points(changed))
+            fresh = staged((embed or (lambda p: p))(chunk_points(changed)), "vectors")  # a lazy embedder fails here, not later
             points = overwrite(without_files(without_files(self.points, gone), touched), fresh.select(*self.points.columns), ["id"])
             pending = []
         except Exception as e:  # the embedder is someone else's code
@@ -113,8 +141,21 @@ class Corpus:
         ents = changed.select("machine_id", "project", F.col("path").alias("file_path"), F.explode("entities").alias("e")).select("machine_id", "project", "file_path", "e.name", F.col("e.type").alias("entity_type"), "e.start_line", "e.end_line")
         entities = overwrite(without_files(without_files(self.entities, gone), touched), ents.select(*self.entities.columns).dropDuplicates(["machine_id", "file_path", "name"]), ["machine_id", "file_path", "name"])
         edges = graph.detach_files(self.edges, gone.unionByName(touched))
+        if "relations" in events.columns:
+            alone = events.filter(F.col("event_type").isin("CREATE", "MODIFY") & F.col("content").isNull())
+            found = graph.merged_edges(event_relations(changed).unionByName(event_relations(alone)), entities).select(*self.edges.columns)
+            edges = overwrite(edges, found, graph.EDGE)
         return Corpus(files, sync_tokens(without_files(self.tokens, gone), put), points, entities, edges, pending)
 
+    def reindex(self, skip_machines: list[str] | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> Corpus:
+        """The corpus with all vectors made anew from its contents, but for those of some machines; graph and entities stay."""
+        points = self.points.filter(F.col("machine_id").isin(skip_machines)) if skip_machines else self.points.filter("false")
+        fresh = staged((embed or (lambda p: p))(chunk_points(reindex_events(self.files, skip_machines))), "vectors")
+        return Corpus(self.files, self.tokens, points.unionByName(fresh.select(*points.columns)), self.entities, self.edges)
+
+    def nodes(self) -> DataFrame:
+        return graph.graph_nodes(self.entities, self.edges)
+
     def stats(self) -> dict[str, object]:
         """Counts of all parts; a part that cannot be read makes the whole "degraded" and the others are still given."""
         out: dict[str, object] = {"status": "ok"}

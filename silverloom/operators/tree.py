@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,3 +53,41 @@ def render_trees(paths: DataFrame) -> DataFrame:
         return pd.DataFrame({"machine_id": [head["machine_id"]], "project": [head["project"]], "tree": [f"{head['project']}/\n{_draw(pdf)}"]})
 
     return drawn.groupBy("machine_id", "project").applyInPandas(draw, "machine_id string, project string, tree string")
+
+
+def project_tree(asked: DataFrame, trees: DataFrame) -> DataFrame:
+    """(machine_id, project, tree) of asked projects: the stored drawing, at most ``MAX_LINES`` lines of it, or a note that there is none."""
+    lines = F.split("tree", "\n")
+    cut = F.when(F.size(lines) > MAX_LINES, F.concat(F.array_join(F.slice(lines, 1, MAX_LINES), "\n"), F.lit("\n[truncated]"))).otherwise(F.col("tree"))
+    note = F.concat(F.lit("[project not found: "), F.coalesce("project", F.lit("")), F.lit("]"))
+    return asked.join(trees, ["machine_id", "project"], "left").select("machine_id", "project", F.coalesce(cut, note).alias("tree"))
+
+
+#: Folders that a walk leaves out.
+NOT_WALKED = frozenset(".git node_modules __pycache__ .venv venv .idea .vscode target dist build".split())
+
+
+def walked_tree(root: str, max_depth: int = 4, max_entries: int = 200) -> str:
+    """The drawing of a local folder, for a project that is not stored: so many levels and entries, then a note that it was cut."""
+    lines, entries, stack = [os.path.basename(root.rstrip("/")) + "/"], 0, [(root, "", 0, None)]
+    while stack:
+        folder, indent, depth, names = stack.pop()
+        if names is None:
+            if depth >= max_depth:
+                return "\n".join([*lines, indent + "└── ...", "[truncated]"])
+            try:
+                names = sorted(set(os.listdir(folder)) - NOT_WALKED, reverse=True)
+            except PermissionError:
+                lines.append(f"{indent}{os.path.basename(folder)}/ [permission denied]")
+                continue
+        if not names:
+            continue
+        if entries >= max_entries or len(lines) >= MAX_LINES:
+            return "\n".join([*lines, "[truncated]"])
+        name, entries = names.pop(), entries + 1
+        inside = os.path.join(folder, name)
+        lines.append(indent + ("├── " if names else "└── ") + name + "/" * os.path.isdir(inside))
+        stack.append((folder, indent, depth, names))
+        if os.path.isdir(inside):
+            stack.append((inside, indent + ("│   " if names else "    "), depth + 1, None))
+    return "\n".join(lines)

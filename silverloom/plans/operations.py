@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silverloom.functions.extraction import embedded, extract
+from silverloom.functions.embedding import get_embedder
+from silverloom.functions.extraction import extract
 from silverloom.functions.text import nfc
 from silverloom.operators import graph, ingest, jobs, stats, store
 from silverloom.operators.changefeed import FileTable, whole_seconds
-from silverloom.session import new_folder, staged
+from silverloom.plans.corpus import sent_twice
+from silverloom.session import new_folder
 from silverloom.sources.files import dequeue, outbox_events
 from silverloom.streaming import events as stream
 
@@ -68,6 +70,32 @@ def jobs_auto_replay(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.auto_replay(_jobs(spark, sf), NOW_MS, 86_400_000, 3, 100, 20)
 
 
+def jobs_replay_tick(spark: SparkSession, sf: str) -> DataFrame:
+    """One tick of the automatic replay from a cursor near the end, so that it goes on from the beginning: the jobs and the next cursor."""
+    j = _jobs(spark, sf)
+    last = j.filter("state = 'dead'").agg(F.max("job_id")).first()[0] or 0
+    picked, cursor = jobs.auto_replay_tick(j, NOW_MS, 86_400_000, 3, last - 20, 20)
+    return spark.createDataFrame([(i, cursor) for i in picked], "job_id long, next_cursor long")
+
+
+def jobs_manual_replay(spark: SparkSession, sf: str) -> DataFrame:
+    j = _jobs(spark, sf)
+    return jobs.manual_replay(j, j.filter("state = 'dead' AND last_error = 'unknown type'"), NOW_MS).select("job_id", "state", "replay_count", "attempt_count", "next_attempt_at")
+
+
+def worker_coalesced(spark: SparkSession, sf: str) -> DataFrame:
+    """What a worker with room for 500 paths holds after the requests of the change feed."""
+    e = _t(spark, sf, "file_events").select(F.col("delivery_id").alias("seq"), "machine_id", "path", "content_hash")
+    return jobs.coalesced(e, 500)
+
+
+def event_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of messages, DELETEs sent without machine and project: they get those of their message."""
+    q = _t(spark, sf, "queue_events").select("delivery_id", F.col("machine_id").alias("batch_machine"), F.col("project").alias("batch_project"))
+    e = outbox_events(_t(spark, sf, "queue_events")).withColumns({c: F.when(F.col("type") == "DELETE", "").otherwise(F.col(c)) for c in ("machine_id", "project")})
+    return ingest.with_fallback(e.join(q, "delivery_id"), F.col("batch_machine"), F.col("batch_project")).select("delivery_id", "position", "machine_id", "project")
+
+
 def stats_scoped(spark: SparkSession, sf: str) -> DataFrame:
     return stats.content_stats(_t(spark, sf, "files"))
 
@@ -109,10 +137,11 @@ def fts_sync(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors under ids that repeat: the later row replaces the earlier, then those of one label are deleted."""
-    e = _t(spark, sf, "embeddings").select((F.col("vec_id") % 97).alias("id"), "vec_id", "label")
-    old, new = graph.last_by(e.filter("label < 5"), ["id"], ["vec_id"]), graph.last_by(e.filter("label >= 5"), ["id"], ["vec_id"])
-    return store.overwrite(old, new, ["id"]).filter("label <> 2")
+    """All vectors, a part of them sent again with new values: the new row replaces the old, then those of one label are deleted."""
+    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    again = e.filter("label >= 5").withColumns({"label": F.col("label") + 100, "embedding": F.reverse("embedding")})
+    kept = store.overwrite(e, again, ["id"]).filter("label <> 2")
+    return kept.select("id", "label", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"), F.round(F.element_at("embedding", -1).cast("double"), 6).alias("last"))
 
 
 def query_cache_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +154,7 @@ def cached_embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
     d = _t(spark, sf, "documents").filter("source IS NOT NULL").select("doc_id", "source")
     q = d.select(F.col("doc_id").alias("qid"), store.cache_key(F.lit("hash"), F.lit("v1"), F.col("source")).alias("cache_key"), F.col("source").alias("query"))
     first = q.filter("qid % 2 = 0").groupBy("cache_key").agg(F.min("query").alias("query"))
-    found, _ = store.cached_embeddings(embedded(first, "cache_key", "query", "search_query: "), q)
+    found, _ = store.cached_embeddings(get_embedder().embedded(first, "cache_key", "query", "query"), q)
     return found.select("qid", F.size("embedding").alias("dim"))
 
 
@@ -151,8 +180,9 @@ def jobs_settle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Ticks of a day to report, where a tick's digest is its number of error events."""
-    ticks = _t(spark, sf, "events").groupBy(F.hour("ts").alias("tick")).agg((F.floor(F.count_if(F.col("event_type") == "error") / 100)).cast("string").alias("digest"))
+    """Hours to report, where an hour's digest is its number of error events in steps of three."""
+    hour = F.floor((F.unix_timestamp("ts") - 1_704_067_200) / 3600).alias("tick")
+    ticks = _t(spark, sf, "events").groupBy(hour).agg((F.floor(F.count_if(F.col("event_type") == "error") / 3)).cast("string").alias("digest"))
     return jobs.emitted_ticks(ticks)
 
 
@@ -171,7 +201,7 @@ def extract_relations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return embedded(_t(spark, sf, "documents"), "doc_id", "text")
+    return get_embedder().embedded(_t(spark, sf, "documents").filter(F.length("text") < 100_000), "doc_id", "text")
 
 
 def _clean_stream(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
@@ -181,9 +211,7 @@ def _clean_stream(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame
 
 def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
     """The change feed as files of a month of arrivals each, applied as a stream of micro-batches: the same table as in one batch."""
-    spool = new_folder(spark, "stream-spool")
-    feed = _t(spark, sf, "file_events").drop("entities").withColumn("month", F.coalesce(F.date_format("received_at", "yyyy-MM"), F.lit("0000-00")))
-    feed.repartition("month").write.partitionBy("month").parquet(spool)
+    spool = _spool(spark, sf, [c for c in _t(spark, sf, "file_events").columns if c != "entities"])
     table = FileTable(spark, new_folder(spark, "stream-table"))
     stream.fold_into_table(stream.event_stream(spark, spool, 3), table)
     return table.current().select("machine_id", "path", "event_id")
@@ -191,13 +219,39 @@ def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_skip_unchanged(spark: SparkSession, sf: str) -> DataFrame:
     """Unchanged events by keyed state, over the first deliveries in order."""
-    first = staged(ingest.clean_events(_t(spark, sf, "file_events").drop("entities", "content")).filter(F.col("event_type").isin("CREATE", "MODIFY") & F.col("content_hash").isNotNull()).select("event_id", "machine_id", "path", "sec", "content_hash"), "stream-in")
-    out = new_folder(spark, "stream-out")
-    source = spark.readStream.schema(first.schema).parquet(first.inputFiles()[0].rsplit("/", 1)[0])
+    up = F.col("event_type").isin("CREATE", "MODIFY") & F.col("content_hash").isNotNull()
+    first = sent_twice(ingest.clean_events(_t(spark, sf, "file_events").drop("entities", "content")).filter(up).select("event_id", "machine_id", "path", "sec", "content_hash"))
+    spool, out = new_folder(spark, "stream-in"), new_folder(spark, "stream-out")
+    first.withColumn("quarter", F.floor(F.col("sec") / 7_776_000)).repartitionByRange(16, "quarter").sortWithinPartitions("sec").write.parquet(spool)  # files in the order of time
+    source = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(spool)
     stream.run_all(stream.skip_unchanged(source), lambda batch, _: batch.write.mode("append").parquet(out), "skip")
     return spark.read.schema("event_id long").parquet(out)
 
 
+def _spool(spark: SparkSession, sf: str, columns: list[str]) -> str:
+    """The change feed as files of a month of arrivals each."""
+    spool = new_folder(spark, "stream-spool")
+    feed = _t(spark, sf, "file_events").select(*columns, F.coalesce(F.date_format("received_at", "yyyy-MM"), F.lit("0000-00")).alias("month"))
+    feed.repartition("month").write.partitionBy("month").parquet(spool)
+    return spool
+
+
+def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Events delivered again, by state that forgets an event a year after its arrival; several micro-batches."""
+    out = new_folder(spark, "stream-dedup")
+    source = stream.event_stream(spark, _spool(spark, sf, ["event_id", "received_at"]), 2).withColumn("received_at", F.col("received_at").cast("timestamp"))
+    stream.run_all(stream.deduplicated(source, ["event_id"], "received_at", "366 days"), lambda batch, _: batch.write.mode("append").parquet(out), "dedup")
+    return spark.read.parquet(out).select("event_id")
+
+
+def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
+    """Bursts of arrivals of a machine that lie under an hour apart, over several micro-batches."""
+    out = new_folder(spark, "stream-debounce")
+    source = stream.event_stream(spark, _spool(spark, sf, ["machine_id", "received_at", "path"]), 4).withColumn("at", F.col("received_at").cast("timestamp"))
+    stream.run_all(stream.debounced(source, "1 hour", "366 days"), lambda batch, _: batch.write.mode("overwrite").parquet(out), "debounce", "complete")
+    return spark.read.parquet(out).select("machine_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n_events")
+
+
 def stream_type_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts per machine and type, kept by the stream and written as a snapshot after each batch."""
     out = new_folder(spark, "stream-counts")
@@ -209,9 +263,9 @@ def stream_type_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    transient_errors, state_counts, error_classes, reconcile_digest, jobs_claim_due, jobs_fail_backoff, jobs_replay_candidates, jobs_auto_replay, stats_scoped, latency_percentiles_lastN, vector_lag, health_report,
+    transient_errors, state_counts, error_classes, reconcile_digest, jobs_claim_due, jobs_fail_backoff, jobs_replay_candidates, jobs_auto_replay, jobs_replay_tick, jobs_manual_replay, worker_coalesced, event_fallbacks, stats_scoped, latency_percentiles_lastN, vector_lag, health_report,
     scoped_counts, ordered_files, hash_preload, fts_sync, vector_upsert, query_cache_keys, cached_embedding_lookup, chunk_points, jobs_upsert, jobs_settle, log_dedup,
-    outbox_scan, outbox_dequeue, extract_relations, embed_chunks, stream_fold, stream_skip_unchanged, stream_type_counts,
+    outbox_scan, outbox_dequeue, extract_relations, embed_chunks, stream_fold, stream_skip_unchanged, stream_type_counts, stream_dedup, stream_debounce,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -224,7 +278,7 @@ t AS (SELECT *, last_error = '' OR regexp_matches(lower(last_error), 'timeout|ti
 cls AS (SELECT error_class, count(*) AS n FROM t WHERE state = 'dead' GROUP BY 1),
 cand AS (SELECT * FROM t WHERE state = 'dead' AND replay_count < 3 AND due_at <= 820454400000 - 86400000 AND job_id > 100 ORDER BY job_id)
 """
-from silverloom.plans.corpus import _BLANK, _EV, _LINES  # noqa: E402
+from silverloom.plans.corpus import _BLANK, _EV, _LINES, _TWICE  # noqa: E402
 from silverloom.plans.problems import ORACLE as _PROBLEMS  # noqa: E402
 
 ORACLE = {
@@ -251,8 +305,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY machine_id, file_path ORDER BY u
 c AS (SELECT * FROM b WHERE k = 1),
 t AS (SELECT file_id, 0 AS field, unnest(regexp_extract_all(strip_accents(lower(file_path)), '[\\p{L}\\p{N}]+')) AS term FROM c UNION ALL SELECT file_id, 1, unnest(regexp_extract_all(strip_accents(lower(coalesce(content, ''))), '[\\p{L}\\p{N}]+')) FROM c)
 SELECT field, term, count(DISTINCT file_id) AS n_files, count(*) AS n_tokens FROM t GROUP BY 1, 2""",
-    "vector_upsert": """WITH e AS (SELECT vec_id % 97 AS id, vec_id, label FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY label >= 5 DESC, vec_id DESC) AS rn FROM e)
-SELECT id, vec_id, label FROM r WHERE rn = 1 AND label <> 2""",
+    "vector_upsert": "SELECT vec_id AS id, CASE WHEN label >= 5 THEN label + 100 ELSE label END AS label, round(CASE WHEN label >= 5 THEN embedding[-1] ELSE embedding[1] END::DOUBLE, 6) AS first, round(CASE WHEN label >= 5 THEN embedding[1] ELSE embedding[-1] END::DOUBLE, 6) AS last FROM embeddings WHERE label <> 2",
     "query_cache_keys": "SELECT doc_id, sha256(concat_ws(':', 'hash', 'v1', 'query', lower(trim(source)))) AS cache_key FROM documents",
     "cached_embedding_lookup": "SELECT doc_id AS qid, CAST(64 AS INTEGER) AS dim FROM documents WHERE source IS NOT NULL",
     "jobs_upsert": """WITH f AS (SELECT machine_id, project, file_path AS path, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY machine_id, project, file_path ORDER BY updated_at DESC NULLS LAST, file_id DESC) AS rn FROM files WHERE file_path LIKE '%.go' AND project IS NOT NULL) WHERE rn = 1),
@@ -261,14 +314,28 @@ j AS (SELECT coalesce(f.machine_id, n.machine_id) AS machine_id, coalesce(f.proj
   FROM f FULL JOIN n ON f.machine_id = n.machine_id AND f.project = n.project AND f.path = n.path)
 SELECT machine_id, project, path, CASE WHEN reset THEN new_hash ELSE old_hash END AS content_hash, CASE WHEN reset THEN 'pending' ELSE 'dead' END AS state, CASE WHEN reset THEN 0 ELSE 4 END AS attempt_count, CASE WHEN reset THEN 820454400000 ELSE 1 END AS next_attempt_at FROM j""",
     "jobs_settle": _J + "SELECT job_id, CASE WHEN state = 'running' AND job_id % 4 <> 0 THEN CASE WHEN job_id % 2 = 0 THEN 'done' ELSE 'release' END ELSE 'stale' END AS outcome FROM j",
-    "log_dedup": """WITH t AS (SELECT CAST(hour(ts) AS INTEGER) AS tick, CAST(CAST(floor(count(*) FILTER (WHERE event_type = 'error') / 100) AS BIGINT) AS VARCHAR) AS digest FROM events GROUP BY 1),
-l AS (SELECT *, lag(digest) OVER (ORDER BY tick) AS b FROM t) SELECT tick, digest FROM l WHERE b IS NULL OR b <> digest OR tick % 24 = 0""",
+    "log_dedup": """WITH t AS (SELECT CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) AS tick, CAST(count(*) FILTER (WHERE event_type = 'error') // 3 AS VARCHAR) AS digest FROM events GROUP BY 1)
+SELECT t.tick, t.digest FROM t LEFT JOIN t b ON b.tick = t.tick - 1 WHERE b.digest IS NULL OR b.digest <> t.digest OR t.tick % 24 = 0""",
+    "jobs_replay_tick": _J + """, c AS (SELECT job_id, transient FROM cand), all_c AS (SELECT job_id, transient FROM t WHERE state = 'dead' AND replay_count < 3 AND due_at <= 820454400000 - 86400000),
+z AS (SELECT max(job_id) - 20 AS cur FROM t WHERE state = 'dead'), ord AS (SELECT job_id, transient, row_number() OVER (ORDER BY job_id <= cur, job_id) AS o FROM all_c, z),
+w AS (SELECT *, sum(transient::INT) OVER (ORDER BY o) AS n FROM ord), stop AS (SELECT min(o) AS o FROM w WHERE n > 20),
+p AS (SELECT job_id FROM w WHERE transient AND n <= 20), nc AS (SELECT job_id AS next_cursor FROM w WHERE o = (SELECT o - 1 FROM stop))
+SELECT job_id, next_cursor FROM p, nc""",
+    "jobs_manual_replay": _J + "SELECT job_id, 'pending' AS state, replay_count + 1 AS replay_count, attempt_count, 820454400000 AS next_attempt_at FROM j WHERE state = 'dead' AND last_error = 'unknown type'",
+    "worker_coalesced": """SELECT machine_id, path, arg_max(content_hash, delivery_id) AS content_hash, count(*) AS n_requests FROM file_events WHERE path <> '' AND content_hash <> '' GROUP BY 1, 2 ORDER BY min(delivery_id) LIMIT 500""",
+    "event_fallbacks": """WITH e AS (SELECT delivery_id, machine_id AS bm, project AS bp, json_transform(payload, '[{"type":"VARCHAR","machine_id":"VARCHAR","project":"VARCHAR"}]') AS ev FROM queue_events),
+x AS (SELECT delivery_id, bm, bp, generate_subscripts(ev, 1) - 1 AS position, unnest(ev) AS e FROM e)
+SELECT delivery_id, CAST(position AS INTEGER) AS position, coalesce(CASE WHEN e.type = 'DELETE' THEN NULL ELSE nullif(e.machine_id, '') END, bm) AS machine_id, coalesce(CASE WHEN e.type = 'DELETE' THEN NULL ELSE nullif(e.project, '') END, bp) AS project FROM x""",
+    "stream_dedup": "SELECT DISTINCT event_id FROM file_events",
+    "stream_debounce": """WITH e AS (SELECT machine_id, received_at AS t, CASE WHEN received_at < lag(received_at) OVER (PARTITION BY machine_id ORDER BY received_at) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM file_events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY machine_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT machine_id, min(t) AS start, max(t) + INTERVAL 1 HOUR AS "end", count(*) AS n_events FROM s GROUP BY machine_id, n""",
     "outbox_scan": """WITH e AS (SELECT delivery_id, json_transform(payload, '[{"type":"VARCHAR","path":"VARCHAR","timestamp":"BIGINT","content_hash":"VARCHAR","content":"VARCHAR","entities":["JSON"]}]') AS ev FROM queue_events),
 x AS (SELECT delivery_id, generate_subscripts(ev, 1) - 1 AS position, unnest(ev) AS e FROM e)
 SELECT delivery_id, CAST(position AS INTEGER) AS position, e.type AS type, e.path AS path, e.timestamp AS timestamp, e.content_hash AS content_hash, CAST(length(e.content) AS INTEGER) AS n_chars, CAST(coalesce(len(e.entities), 0) AS INTEGER) AS n_entities FROM x""",
     "outbox_dequeue": "SELECT id, delivery_id FROM queue_events WHERE json_valid(payload) ORDER BY id, delivery_id LIMIT 100",
     "stream_fold": _PROBLEMS["p5_found"],
-    "stream_skip_unchanged": _EV + "SELECT event_id FROM (SELECT *, lag(content_hash) OVER (PARTITION BY machine_id, path ORDER BY sec, event_id) AS b FROM ev WHERE event_type IN ('CREATE', 'MODIFY') AND content_hash IS NOT NULL) WHERE content_hash = b",
+    "stream_skip_unchanged": _EV + _TWICE,
     "stream_type_counts": "SELECT machine_id, upper(trim(event_type)) AS event_type, count(*) AS n FROM file_events GROUP BY 1, 2",
 }
 _ID = "sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(machine_id || ':' || coalesce(project, '') || ':' || path || ':' || entity || ':' || chunk_no))"

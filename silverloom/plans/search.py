@@ -145,6 +145,12 @@ def hybrid_boosted_top10(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("qid", "rank", "file_path", F.round("score", 6).alias("score"))
 
 
+def search_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship's hits with all fields of a search result."""
+    r = fusion.results(fusion.boosted(_fused(spark, sf), _queries(spark, sf)))
+    return r.select("qid", "rank", "file_path", "machine_id", "project", F.md5("snippet").alias("snippet_md5"), F.round("score", 6).alias("score"), F.array_join("matched_entities", ",").alias("entities"))
+
+
 def ident_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "entities").select("entity_id", F.array_join(F.array_sort(identifier_tokens(F.col("name"))), " ").alias("tokens"))
 
@@ -201,7 +207,7 @@ def eval_hit_mrr(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = (
     lexical_query_terms, lexical_index_stats, lexical_bm25_top10, lexical_indexed_top10, lexical_hits, lexical_scoped_global_stats, lexical_phrase, vector_cosine_top10, vector_scoped_top10, vector_index_top10, vector_index_recall,
-    rrf_fuse, snippet_rule, matched_entities, hybrid_boosted_top10, ident_tokens, home_prefix_strip, path_overlap_counts, entity_overlap_counts, eval_jaccard, eval_gate_a, eval_gate_b, eval_gate, eval_hit_mrr,
+    rrf_fuse, snippet_rule, matched_entities, hybrid_boosted_top10, search_results, ident_tokens, home_prefix_strip, path_overlap_counts, entity_overlap_counts, eval_jaccard, eval_gate_a, eval_gate_b, eval_gate, eval_hit_mrr,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -291,7 +297,7 @@ ORACLE = {
     "matched_entities": _TEXT_FUSE + "SELECT qid, machine_id, project, file_path, coalesce(array_to_string(ents, ','), '') AS entities FROM fused",
     "hybrid_boosted_top10": _TEXT_FUSE + f""",
 qs AS (SELECT qid, list_filter({_ident("query")}, lambda t: NOT list_contains({STOP_SQL}, t)) AS tokens FROM searches),
-boosted AS (SELECT f.qid, machine_id, project, file_path, first_seen, score + CASE WHEN len(tokens) > 0 THEN (1.0 / 21) * (0.30 * len(list_filter(tokens, lambda t: len(list_filter({_ident(_LAST4)}, lambda p: starts_with(p, t))) > 0))
+boosted AS (SELECT f.qid, machine_id, project, file_path, first_seen, snippet, ents, score + CASE WHEN len(tokens) > 0 THEN (1.0 / 21) * (0.30 * len(list_filter(tokens, lambda t: len(list_filter({_ident(_LAST4)}, lambda p: starts_with(p, t))) > 0))
    + 0.50 * len(list_filter(tokens, lambda t: list_contains({_ident("array_to_string(coalesce(ents, []), '/')")}, t)))) / len(tokens) ELSE 0 END AS score FROM fused f JOIN qs USING (qid)),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, file_path, first_seen, machine_id, project) AS rn FROM boosted)
 SELECT qid, CAST(rn AS INTEGER) AS rank, file_path, round(score, 6) AS score FROM r WHERE rn <= 10""",
@@ -315,3 +321,5 @@ FROM (SELECT avg(ok::INT) AS pa, count(*) AS n FROM ga), (SELECT count(*) FILTER
     "eval_hit_mrr": _CAP + """, rel AS (SELECT qid, 'f' || (qid // 2) AS file_path FROM q), hit AS (SELECT rel.qid, min(b.rank) AS first FROM rel LEFT JOIN b ON b.qid = rel.qid AND b.file_path = rel.file_path GROUP BY rel.qid)
 SELECT count(*) AS n_queries, round(avg(coalesce((first <= 1)::INT, 0)), 6) AS hit_1, round(avg(coalesce((first <= 3)::INT, 0)), 6) AS hit_3, round(avg(coalesce((first <= 10)::INT, 0)), 6) AS hit_10, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM hit""",
 }
+ORACLE["search_results"] = ORACLE["hybrid_boosted_top10"][: ORACLE["hybrid_boosted_top10"].rindex("SELECT qid, CAST(rn")] + """SELECT qid, CAST(rn AS INTEGER) AS rank, file_path, machine_id, project, md5(snippet) AS snippet_md5,
+  round(score, 6) AS score, coalesce(array_to_string(ents, ','), '') AS entities FROM r WHERE rn <= 10"""

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from silverloom.operators.changefeed import FileTable
@@ -29,10 +30,21 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
-def run_all(stream: DataFrame, write: Callable[[DataFrame, int], None], label: str) -> None:
+def run_all(stream: DataFrame, write: Callable[[DataFrame, int], None], label: str, mode: str = "append") -> None:
     """Runs a stream over all that is there, batch by batch, with a checkpoint in the shared folder."""
     checkpoint = new_folder(stream.sparkSession, f"stream-{label}")
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_every(stream: DataFrame, write: Callable[[DataFrame, int], None], label: str, every: str = "5 seconds") -> StreamingQuery:
+    """Runs a stream until it is stopped, a batch at each tick of what came since the last."""
+    checkpoint = new_folder(stream.sparkSession, f"stream-{label}")
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def deduplicated(events: DataFrame, keys: list[str], at: str, within: str) -> DataFrame:
+    """The first event of each key; a key is forgotten ``within`` after its moment, so that the state is bounded."""
+    return events.withWatermark(at, within).dropDuplicatesWithinWatermark(keys)
 
 
 def skip_unchanged(events: DataFrame) -> DataFrame:

@@ -151,3 +151,40 @@ def test_deep_tree_behind_many_names(spark):
     files = spark.createDataFrame(deep + wide, "machine_id string, project string, file_path string")
     lines = tree.render_trees(tree.tree_paths(files)).first().tree.split("\n")
     assert lines[1] == "├── a/" and lines[2] == "│   └── d/" and lines[22].endswith("└── f.go") and lines[23] == "├── z00000/" and lines[24] == "│   └── x" and len(lines) == 302
+
+
+@pytest.mark.parametrize("lines,path,want", [
+    (["*.log.txt"], "a/b.log.txt", True), (["/docs/"], "docs/a.md", True), (["/docs/"], "x/docs/a.md", False), (["docs/"], "x/docs/a.md", True), (["docs/"], "docs", False), (["a/b"], "a/b/c", True), (["a/b"], "x/a/b", False),
+    (["**/gen/**"], "x/gen/a.go", True), (["**/gen/**"], "gen/a.go", True), (["*.js", "!keep.js"], "x/keep.js", False), (["!keep.js", "*.js"], "keep.js", True), (["x?.py"], "x1.py", True), (["x?.py"], "x12.py", False),
+    (["# a", "", "  "], "# a", False), (["\\#a"], "#a", True), (["a[0-3].c"], "a2.c", True), (["a[!0-3].c"], "a2.c", False), (["a/**/b"], "a/b", True), (["a/**/b"], "a/x/y/b", True), (["node_modules"], "q/node_modules/x", True),
+])
+def test_ignore_lines(spark, lines, path, want):
+    assert spark.range(1).select(ingest.ignored_by(F.lit(path), lines)).first()[0] is want
+
+
+def test_ignore_globs(spark):
+    df = spark.createDataFrame([("a/x.bak",), ("a.bak/x",), ("b",)], "p string")
+    assert [r[0] for r in df.select(ingest.ignored_by(F.col("p"), globs=["*.bak"])).collect()] == [True, False, False]
+
+
+def test_walked_tree(tmp_path):
+    root = tmp_path / "proj"
+    for d in ("a/b", "node_modules/x", "z"):
+        (root / d).mkdir(parents=True)
+    for p in ("a/b/c.txt", "a/d.txt", "k.txt", "node_modules/x/y.js"):
+        (root / p).write_text("")
+    assert tree.walked_tree(str(root)) == "proj/\n├── a/\n│   ├── b/\n│   │   └── c.txt\n│   └── d.txt\n├── k.txt\n└── z/"
+    assert tree.walked_tree(str(root), max_depth=2).endswith("└── ...\n[truncated]")
+    for i in range(300):
+        (root / "z" / f"f{i:03}").write_text("")
+    lines = tree.walked_tree(str(root)).split("\n")
+    assert len(lines) == 202 and lines[-1] == "[truncated]"
+
+
+def test_search_results_have_all_fields(spark):
+    from silverloom.operators.fusion import results
+    from silverloom.sources.schema import SEARCH_RESULT
+
+    top = spark.createDataFrame([(1, 1, "/a", None, None, None, 0.5, None)], "qid int, rank int, file_path string, machine_id string, project string, snippet string, score double, matched_entities array<string>")
+    got = results(top)
+    assert [f"{n} {t}" for n, t in got.dtypes[2:]] == SEARCH_RESULT.split(", ") and got.first().asDict() == {"qid": 1, "rank": 1, "file_path": "/a", "machine_id": "", "project": "", "snippet": "", "score": 0.5, "matched_entities": []}

@@ -85,3 +85,19 @@ def test_staged_tables_are_removed(spark):
     session.clear_staged(spark)
     assert not path.exists() and not session._FOLDERS
     session._FOLDERS[:] = kept
+
+
+def test_ticker_and_bounded_deduplication(spark, tmp_path):
+    """A stream that runs at ticks takes files that come later, and repeats within the time are dropped over batches."""
+    put = lambda k, rows: spark.createDataFrame(rows, "id long, t string").select("id", F.to_timestamp("t").alias("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put(0, [(1, "2025-01-01 00:00:00"), (1, "2025-01-01 00:00:01")])
+    seen: list[int] = []
+    stream = spark.readStream.schema("id long, at timestamp").parquet(str(tmp_path / "in"))
+    query = E.run_every(E.deduplicated(stream, ["id"], "at", "1 hour"), lambda batch, _: seen.extend(r.id for r in batch.collect()), "tick", "200 milliseconds")
+    try:
+        query.processAllAvailable()
+        put(1, [(1, "2025-01-01 00:10:00"), (2, "2025-01-01 00:10:00")])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(seen) == [1, 2]

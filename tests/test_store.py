@@ -1,8 +1,11 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from silverloom.operators import store
-from silverloom.operators.jobs import drop_deleted, settle, upsert_jobs
+from silverloom.functions.embedding import Embedder, get_embedder
+from silverloom.operators.jobs import RelationCache, auto_replay_tick, drop_deleted, settle, upsert_jobs
 
 EVENTS = "delivery_id long, event_id long, event_type string, path string, old_path string, project string, machine_id string, sec long, content_hash string, content string, entities array<struct<name:string,type:string,line:int,start_line:int,end_line:int>>"
 EDGE = "from_id string, relation string, to_id string, machine_id string, project string, file_path string, to_kind string, from_kind string"
@@ -59,6 +62,83 @@ def test_failing_embedder_keeps_vectors_and_hashes(spark):
     assert again.files.first().content_hash == "v2" and again.points.first().text.startswith("b")
 
 
+def test_lazily_failing_embedder(spark):
+    """An embedder that fails in its tasks, not when the plan is made, is caught as well."""
+
+    def fail(points):
+        return points.withColumn("text", F.when(F.col("text").isNotNull(), F.raise_error(F.lit("embedder down"))))
+
+    c = empty(spark).ingest(batch(spark, ev("CREATE", "/a.py", "v1", "a = 1\n")))
+    d = c.ingest(batch(spark, ev("MODIFY", "/a.py", "v2", "b = 2\n")), fail)
+    assert len(d.pending) == 1 and "embedder down" in d.pending[0] and d.files.first().content_hash == "v1" and d.points.first().text.startswith("a")
+
+
+def test_ingest_of_relations(spark):
+    """A changed file gets the edges of its event; relations without content are added to what is there; nodes without edges are gone."""
+    relation = "array<struct<type:string,source:string,target:string,target_type:string,line:int,confidence:string,layer:string,status:string,symbol_id:string>>"
+
+    def with_relations(rows, relations):
+        plain = batch(spark, *rows)
+        found = spark.createDataFrame([(i, [(t, s, x, None, 1, None, None, None, sym) for t, s, x, sym in r]) for i, r in enumerate(relations)], f"event_id long, relations {relation}")
+        return plain.join(found, "event_id")
+
+    ents = [("f", "function", 1, 1, 1), ("g", "function", 2, 2, 2)]
+    one = with_relations([ev("CREATE", "/a.go", "h1", "func f() {}\nfunc g() {}", ents)], [[("CALLS_SYNTAX", "f", "print", None), ("IMPORTS", None, "fmt", None), ("CALLS_SYNTAX", "nobody", "x", None)]])
+    c = empty(spark).ingest(one)
+    mine = lambda c: {(r.from_id, r.relation, r.to_id) for r in c.edges.filter("file_path = '/a.go'").collect()}
+    assert mine(c) == {("m1:/a.go#f", "CALLS_SYNTAX", "m1:print"), ("m1:/a.go", "IMPORTS", "m1:fmt")}
+    alone = with_relations([ev("MODIFY", "/a.go")], [[("CALLS_RESOLVED", "g", "h", "pkg.h"), ("REFERENCES", "g", "h", None)]])
+    d = c.ingest(alone)
+    assert mine(d) == mine(c) | {("m1:/a.go#g", "CALLS_RESOLVED", "m1:pkg.h")} and d.files.count() == 1
+    again = with_relations([ev("MODIFY", "/a.go", "h2", "func f() {}", ents[:1])], [[("IMPORTS", None, "os", None)]])
+    e = d.ingest(again)
+    assert mine(e) == {("m1:/a.go", "IMPORTS", "m1:os")} and "fmt" not in names(e.nodes().filter("name IS NOT NULL"), "name")
+
+
+def test_reindex(spark):
+    c = empty(spark).ingest(batch(spark, ev("CREATE", "/a.py", "h1", "a = 1\n"), ev("CREATE", "/b.py", "h2", "b = 1\n")))
+    c.points = c.points.filter("file_path = '/a.py'")
+    assert names(c.reindex().points) == ["/a.py", "/b.py"] and names(c.reindex(["m1"]).points) == ["/a.py"]
+    assert store.reindex_events(c.files).filter("path = '/a.py'").first().content_hash == hashlib.sha256(b"a = 1\n").hexdigest()
+
+
+def test_replay_tick(spark):
+    rows = [(i, "dead", "timeout" if i % 2 else "parse error", 0, 0) for i in range(1, 13)]
+    jobs = spark.createDataFrame(rows, "job_id long, state string, last_error string, replay_count int, dead_at long")
+    assert auto_replay_tick(jobs, 100, 10, 3, 0, 3) == ([1, 3, 5], 6)
+    assert auto_replay_tick(jobs, 100, 10, 3, 6, 3) == ([7, 9, 11], 12)
+    assert auto_replay_tick(jobs, 100, 10, 3, 9, 3) == ([11, 1, 3], 4)  # it goes on from the beginning
+    assert auto_replay_tick(jobs.filter("job_id % 2 = 0"), 100, 10, 3, 0, 2, 2) == ([], 8)
+    assert auto_replay_tick(jobs.filter("false"), 100, 10, 3, 5, 3) == ([], 0)
+
+
+def test_relation_cache():
+    c = RelationCache(2)
+    for k in "ab":
+        c.put("r", k, "h", [k])
+    c.put("r", "a", "h", ["new"])  # keeps its place
+    c.put("r", "c", "h", ["c"])
+    got = c.get("r", "b", "h")
+    got.append("mine")
+    assert c.get("r", "a", "h") is None and c.get("r", "b", "h") == ["b"] and c.get("r", "b", "other") is None
+    none = RelationCache(0)
+    none.put("r", "a", "h", [])
+    assert none.get("r", "a", "h") is None
+
+
+def test_embedder_batches_and_prefixes(spark):
+    def sizes(texts):
+        assert len(texts) <= 32 and all(t.startswith("q: ") for t in texts)
+        return [[float(len(texts))] for _ in texts]
+
+    rows = spark.range(70).selectExpr("id", "if(id = 5, NULL, 'x') AS t").coalesce(1)
+    got = [r.embedding[0] for r in Embedder("t", sizes, query_prefix="q: ").embedded(rows, "id", "t", "query").collect()]
+    assert sorted(got) == [5.0] * 5 + [32.0] * 64
+    assert get_embedder().name == get_embedder("AUTO").name == get_embedder("Hash").name == "hash"
+    with pytest.raises(ValueError):
+        get_embedder().embedded(rows, "id", "t", "other")
+
+
 def test_scope_and_deletes(spark):
     f = spark.createDataFrame([("m1", "alpha", "/1"), ("m1", "beta", "/2"), ("m2", "alpha", "/3"), (None, None, "/4")], "machine_id string, project string, file_path string")
     assert [store.scoped(f, *a).count() for a in ((), ("m1",), ("m1", "beta"), ("", "alpha"), ("zz",))] == [4, 2, 1, 2, 0]
