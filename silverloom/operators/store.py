@@ -122,11 +122,12 @@ class Corpus:
 
         A changed file loses its entities and edges and gets those of its event; events with relations but without content add these to the graph as it stands.
         """
-        gone = ingest.delete_fanout(events).select("machine_id", F.col("path").alias("file_path")).distinct()
+        # what the batch decides, and the edges, are written down: the tables of many batches on end stay short plans
+        gone = staged(ingest.delete_fanout(events).select("machine_id", F.col("path").alias("file_path")).distinct(), "gone")
         live = events.filter(F.col("event_type").isin("CREATE", "MODIFY") & F.col("content").isNotNull())
         last = graph.last_by(live, ["machine_id", "path"], ["sec", "event_id"])
         base = without_files(self.files, gone)
-        same = ingest.hash_short_circuit(last, base)
+        same = staged(ingest.hash_short_circuit(last, base), "same")
         changed = last.join(same.filter("NOT unchanged").select("event_id"), "event_id", "left_semi")
         put = last.select("machine_id", "project", F.col("path").alias("file_path"), "content", "content_hash")
         touched = changed.select("machine_id", F.col("path").alias("file_path"))
@@ -143,8 +144,9 @@ class Corpus:
         edges = graph.detach_files(self.edges, gone.unionByName(touched))
         if "relations" in events.columns:
             alone = events.filter(F.col("event_type").isin("CREATE", "MODIFY") & F.col("content").isNull())
-            found = graph.merged_edges(event_relations(changed).unionByName(event_relations(alone)), entities).select(*self.edges.columns)
+            found = staged(graph.merged_edges(event_relations(changed).unionByName(event_relations(alone)), entities).select(*self.edges.columns), "new-edges")
             edges = overwrite(edges, found, graph.EDGE)
+        edges = staged(edges, "edges")
         return Corpus(files, sync_tokens(without_files(self.tokens, gone), put), points, entities, edges, pending)
 
     def reindex(self, skip_machines: list[str] | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> Corpus:

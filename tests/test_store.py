@@ -107,7 +107,7 @@ def test_replay_tick(spark):
     jobs = spark.createDataFrame(rows, "job_id long, state string, last_error string, replay_count int, dead_at long")
     assert auto_replay_tick(jobs, 100, 10, 3, 0, 3) == ([1, 3, 5], 6)
     assert auto_replay_tick(jobs, 100, 10, 3, 6, 3) == ([7, 9, 11], 12)
-    assert auto_replay_tick(jobs, 100, 10, 3, 9, 3) == ([11, 1, 3], 4)  # it goes on from the beginning
+    assert auto_replay_tick(jobs, 100, 10, 3, 9, 3) == ([11, 1, 3], 3)  # it goes on from the beginning
     assert auto_replay_tick(jobs.filter("job_id % 2 = 0"), 100, 10, 3, 0, 2, 2) == ([], 8)
     assert auto_replay_tick(jobs.filter("false"), 100, 10, 3, 5, 3) == ([], 0)
 
