@@ -42,11 +42,13 @@ def row_vectors(scan: DataFrame, chosen: DataFrame) -> DataFrame:
     ``scan`` is a plain Parquet scan, ``chosen`` has the columns FILE and ROW.
     """
     at = F.col(ROW) + 1  # Spark counts bitmap positions from 1
+    one = F.when(F.min("path") == F.max("path"), F.min("path")).otherwise(F.raise_error(F.lit("two files share the hash of their paths")))
     blocks = (
         scan.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias(ROW))
         .groupBy("path", F.floor(F.col(ROW) / BLOCK).alias("block"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
-        .withColumn(FILE, F.xxhash64("path"))
+        .groupBy(F.xxhash64("path").alias(FILE), "block")
+        .agg(F.max("n_rows").alias("n_rows"), one.alias("path"))
     )
     bits = chosen.groupBy(F.col(FILE), (F.bitmap_bucket_number(at) - 1).alias("block")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")
