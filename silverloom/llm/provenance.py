@@ -11,10 +11,11 @@ other repositories still had; there, and only there, an exact check follows: the
 repository reads like any other; without the check such files would be missed.)
 
 Recurrence: a file recurs if its text without the leading comment is the same as that of a file of another repository, or if at least ``SAME`` of their
-five-word shingles are (intersection by union, counted on the whole sets). Candidates are found by MinHash signatures (64 bins in 16 bands of 4), one common band
-being enough: of pairs at 0.8 one in 5,000 is missed, at 0.7 one in 80. Candidates whose signatures differ by five standard deviations more than those of texts at
-``SAME`` are dropped without counting. Equal texts are merged first; no pairs are formed within a band: each file is compared
-with up to four files of each of its bands, drawn anew for every band. A row without a project belongs to the first known project that its path names; if it names
+five-word shingles are (intersection by union, counted on the whole sets of 64-bit hashes). The search is exact, no partner is left out. Equal texts are merged first. All texts
+keep the rarest 30 % of their shingles, in one order for all; two texts at ``SAME`` must have a number of these in common that follows from their sizes, and bitmaps of parities bound
+the difference of their sets from below; pairs that pass both are counted. Texts are sorted by size into blocks, and each block meets all blocks of sizes that can reach ``SAME``, so that the work grows with
+the square of the texts, the memory of a task does not. How rare a shingle is, is told by a sample; that decides about speed, not about results.
+A row without a project belongs to the first known project that its path names; if it names
 none, it stands in a repository of its own. Texts under five words have no shingles and never recur.
 
 The classifiers are fitted on a sample of about ``SAMPLE`` rows of any length, drawn by a hash of file_id; of a
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silverloom.sources.positions import FILE, ROW, read_rows, row_vectors, scanned, with_position
+from silverloom.sources.positions import FILE, ROW, _open, read_rows, row_vectors, scanned, with_position
 
 SAMPLE, QUOTA, LEAST = 4000, 200, 20
 #: How far below the threshold, and below the margins that labelled rows of other repositories have, the exact check looks.
@@ -49,8 +50,10 @@ KINDS = ("generated", "minified", "third_party", "data")
 
 #: Share of common shingles from which a text is a copy.
 SAME = 0.7
-#: Differing bits of 256, four of each bin, up to which two signatures may belong to such texts: 38 are expected, the standard deviation is 8.5.
-SIGN_BITS = 81
+#: Texts and rare shingles in a block, pairs of equal shingles looked at in one go.
+BLOCK_TEXTS, BLOCK_RARE, BLOCK_PAIRS = 3000, 2_000_000, 2_000_000
+#: Texts of which the shingles are counted to tell rare ones, and counters for them.
+COUNTED, COUNTER_BITS = 4000, 22
 #: Share of blanks that a minified text stays under (in sf0.1 they are at most 0.05).
 MINIFIED_BLANKS = 0.15
 #: Kinds a file may be of besides: a table may be generated and data at once, and the text of third-party code is like any other.
@@ -286,11 +289,11 @@ def bands(text: str) -> list[int]:
     The signature is made by one permutation in 64 bins; an empty bin borrows from the next one that is not.
     """
     ids = word_hashes(text)
-    return _signature(_shingles(ids))[0] if len(ids) >= 5 else []
+    return _signature(_shingles(ids)) if len(ids) >= 5 else []
 
 
-def _signature(h: np.ndarray) -> tuple[list[int], list[int]]:
-    """The band keys, and four bits of each bin in four numbers."""
+def _signature(h: np.ndarray) -> list[int]:
+    """The band keys."""
     keyed = np.sort(((h % np.uint64(64)) << np.uint64(57)) | (h >> np.uint64(7)))
     bins = (keyed >> np.uint64(57)).astype(np.int64)
     first = _firsts(bins)
@@ -302,9 +305,7 @@ def _signature(h: np.ndarray) -> tuple[list[int], list[int]]:
     for k in range(4):
         out = (out ^ low[k::4]) * _MIX
         out ^= out >> np.uint64(29)
-    mixed = (low ^ (low >> np.uint64(31))) * _MIX
-    signs = [np.packbits(((mixed >> np.uint64(40 + k)) & np.uint64(1)).astype(np.uint8)).view(np.int64)[0].item() for k in range(4)]
-    return out.view(np.int64).tolist(), signs
+    return out.view(np.int64).tolist()
 
 
 def sketch(text: str) -> tuple[int | None, np.ndarray]:
@@ -344,28 +345,185 @@ def _repositories(scored: DataFrame) -> DataFrame:
     return scored.filter("project IS NOT NULL").withColumn("repo", F.xxhash64("project")).unionByName(lost.join(named, "file_id", "left").withColumn("repo", elsewhere).drop("named"))
 
 
-def copies(scored: DataFrame, files: DataFrame, often: int = 50_000) -> DataFrame:
+def _least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements sets of these sizes must have in common to be alike."""
+    return np.ceil(SAME / (1 + SAME) * (a + b) - 1e-6).astype(np.int64)
+
+
+def _rare_size(n):
+    """How many of its rarest shingles a text keeps: one at least is in any part of it that a text alike could have."""
+    return n - np.ceil(SAME * n - 1e-6).astype(np.int64) + 1
+
+
+def condensed(shingles: np.ndarray, counts: np.ndarray | None) -> tuple[int, bytes, bytes]:
+    """The number of different shingles, the upper halves of the rarest ones, and the parities of all in a bitmap of two to four bits a shingle."""
+    h = np.unique(shingles)
+    n = len(h)
+    rare = h if counts is None else h[np.argsort(counts[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")]
+    size = 1 << max(6, (2 * n - 1).bit_length())
+    odd = np.bincount(((h >> np.uint64(16)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return n, (rare[: int(_rare_size(n))] >> np.uint64(32)).astype(np.uint32).tobytes(), np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def shingle_counts(files: DataFrame) -> np.ndarray:
+    """How often shingles occur in about ``COUNTED`` of the files, by the upper bits of their hashes."""
+    share = int(1_000_000 * min(1.0, COUNTED / max(1, files.count())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTER_BITS, np.int32)
+        for batch in batches:
+            for text in batch.column("content").to_pylist():
+                np.add.at(total, (np.unique(sketch(text)[1]) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int32())], names=["at", "n"])
+
+    drawn = files.filter(F.col("content").isNotNull() & (F.pmod(F.xxhash64("file_id"), F.lit(1_000_000)) < share)).select("content")
+    got = drawn.mapInArrow(run, "at long, n int").groupBy("at").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()  # at most one row per counter
+    counts = np.zeros(1 << COUNTER_BITS, np.uint16)
+    counts[got["at"].to_numpy()] = np.minimum(got["n"].to_numpy(), 65_535)
+    return counts
+
+
+class _Block:
+    """Texts of like size: digests, sizes, repositories and sorted rare shingles with their owners. Copies of a text are merged."""
+
+    def __init__(self, uris: list[str]):
+        t = pa.concat_tables([_open(uri).read(columns=["digest", "repo", "n", "rare", "parity"]) for uri in uris])
+        digests, repos, known = t["digest"].to_numpy(), t["repo"].fill_null(0).to_numpy(), t["repo"].is_valid().to_numpy()
+        self.digest, at, owner = np.unique(digests, return_index=True, return_inverse=True)
+        self.size = t["n"].to_numpy()[at].astype(np.int64)
+        ends = np.iinfo(np.int64)
+        self.low, self.high = np.full(len(at), ends.max), np.full(len(at), ends.min)
+        np.minimum.at(self.low, owner[known], repos[known])
+        np.maximum.at(self.high, owner[known], repos[known])
+        self.known = self.low <= self.high  # stands in a repository
+        self.lost = np.zeros(len(at), bool)  # has rows of which the repository is not known
+        self.lost[owner[~known]] = True
+        self.settled = self.low < self.high  # equal texts in two repositories
+        picked = t.select(["rare", "parity"]).take(pa.array(at))
+        rare = [np.frombuffer(x, np.uint32) for x in picked["rare"].to_pylist()]
+        self.kept = np.array([len(x) for x in rare])
+        tokens, owners = np.concatenate(rare), np.repeat(np.arange(len(at)), self.kept)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owners = tokens[order], owners[order]
+        self.parity = picked["parity"].to_pylist()
+
+    def common(self, other: "_Block") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs with rare shingles in common, and how many these are at most."""
+        low = np.searchsorted(self.tokens, other.tokens, "left")
+        times = np.searchsorted(self.tokens, other.tokens, "right") - low
+        has = np.flatnonzero(times)
+        low, times, owners = low[has], times[has], other.owners[has]
+        width, done = len(other.digest), np.cumsum(times)
+        total = np.zeros(len(self.digest) * width, np.int64)
+        a = 0
+        while a < len(has):
+            b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + BLOCK_PAIRS, "right")))
+            t = times[a:b]
+            mine = self.owners[np.repeat(low[a:b] - (np.cumsum(t) - t), t) + np.arange(t.sum())]
+            total += np.bincount(mine * width + np.repeat(owners[a:b], t), minlength=len(total))
+            a = b
+        key = np.flatnonzero(total)
+        return key // width, key % width, total[key]
+
+    def asks(self, x: np.ndarray, other: "_Block", y: np.ndarray) -> np.ndarray:
+        """Whether a row of the text x recurs if the text y of the other block is like it."""
+        return ~self.settled[x] & other.known[y] & (self.lost[x] | (self.low[x] != other.low[y]) | (self.low[x] != other.high[y]))
+
+    def near(self, other: "_Block") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs that can be alike, with at least how many shingles they differ by."""
+        x, y, m = self.common(other)
+        a, b = self.size[x], other.size[y]
+        need = _least_common(a, b)
+        ok = (np.minimum(a, b) >= need) & (m + np.maximum(a - self.kept[x], b - other.kept[y]) >= need) & (self.asks(x, other, y) | other.asks(y, self, x))
+        if other is self:
+            ok &= x < y
+        x, y, differ = x[ok], y[ok], (a + b - 2 * need)[ok]
+        lengths = np.array([len(p) for p in self.parity])[x], np.array([len(p) for p in other.parity])[y]
+        for la, lb in set(zip(lengths[0].tolist(), lengths[1].tolist())):
+            of = np.flatnonzero((lengths[0] == la) & (lengths[1] == lb))
+            step = max(1, (1 << 23) // max(la, lb))
+            for at in range(0, len(of), step):
+                part = of[at : at + step]
+                bits = [np.frombuffer(b"".join([parity[i] for i in which[part].tolist()]), np.uint8).reshape(len(part), -1) for parity, which in ((self.parity, x), (other.parity, y))]
+                short = min(la, lb)
+                bits = [np.bitwise_xor.reduce(v.reshape(len(part), -1, short), axis=1) for v in bits]  # the larger bitmap folded
+                far = np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                can = far <= differ[part]
+                yield x[part][can], y[part][can], far[can]
+
+
+def _plan(sizes: dict[int, int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Blocks for texts by size, of which ``sizes`` has the numbers: (size, first block, blocks) of each, and the least and largest size in each block."""
+    places, ends, texts, rare = [], [], 0, 0
+    for n, count in sorted(sizes.items()):
+        kept = int(_rare_size(n))
+        parts = max(-(-count // BLOCK_TEXTS), -(-count * kept // BLOCK_RARE))
+        if parts > 1 or not ends or texts + count > BLOCK_TEXTS or rare + count * kept > BLOCK_RARE:
+            places.append((n, len(ends), parts))
+            ends += [(n, n)] * parts
+            texts, rare = (count, count * kept) if parts == 1 else (BLOCK_TEXTS, BLOCK_RARE)
+        else:
+            places.append((n, len(ends) - 1, 1))
+            ends[-1] = (ends[-1][0], n)
+            texts, rare = texts + count, rare + count * kept
+    return places, ends
+
+
+_NEAR = "digest long, like long, low long, high long, whole boolean, far long"
+
+
+def _near(uris: dict[int, list[str]], ends: list[tuple[int, int]], spark) -> DataFrame:
+    """Texts (digest) and others (like, its least and largest repository) that can be alike; whole: enough for all rows of the text."""
+    last = np.searchsorted([SAME * low - 1e-6 for low, _ in ends], [high for _, high in ends], "right") - 1  # blocks are sorted by size
+    tasks = [(i, int(last[i])) for i in sorted(uris)]
+    if not tasks:
+        return spark.createDataFrame([], _NEAR)
+    shared = spark.sparkContext.broadcast(uris)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, last, start in zip(*(batch.column(c).to_pylist() for c in ("i", "last", "start"))):
+                left = _Block(shared.value[i])
+                for j in range(start, min(start + 7, last) + 1):
+                    if j not in shared.value:
+                        continue
+                    right = left if j == i else _Block(shared.value[j])
+                    for x, y, far in left.near(right):
+                        for one, u, two, v in ((left, x, right, y), (right, y, left, x)):
+                            ok = one.asks(u, two, v)
+                            u, v = u[ok], v[ok]
+                            whole = ~one.known[u] | (one.low[u] != two.low[v]) | (one.low[u] != two.high[v])
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (one.digest[u], two.digest[v], two.low[v], two.high[v], whole, far[ok])], names=["digest", "like", "low", "high", "whole", "far"])
+
+    parts = min(10_000, sum((last - i) // 8 + 1 for i, last in tasks))
+    return spark.createDataFrame(tasks, "i int, last int").select("*", F.explode(F.sequence("i", "last", F.lit(8))).alias("start")).repartition(parts).mapInArrow(run, _NEAR)
+
+
+def copies(scored: DataFrame, files: DataFrame) -> DataFrame:
     """file_id of the files whose text recurs in another repository. ``scored``: ``seen_files`` of ``files``."""
     from silverloom.session import staged
 
+    spark = files.sparkSession
     where = [c for c in (FILE, ROW) if c in scored.columns]
-    rows = staged(_repositories(scored.filter("digest IS NOT NULL").select("file_id", "project", "place", "digest", "bands", "signs", *where)).drop("project", "place"), "files-repositories")
+    told = scored.filter("digest IS NOT NULL")
+    places, ends = _plan({r[0]: r[1] for r in told.groupBy("n").count().collect()})  # one row per size
+    block = F.broadcast(spark.createDataFrame(places, "n int, first int, parts int"))
+    rows = _repositories(told.select("file_id", "project", "place", "digest", "n", "rare", "parity", *where)).drop("project", "place").join(block, "n")
+    rows = rows.withColumn("block", (F.col("first") + F.pmod(F.col("digest"), F.col("parts"))).cast("int")).drop("first", "parts")
+    rows = staged(rows.repartition("block"), "files-blocks", ["block"])
+    uris: dict[int, list[str]] = {}
+    for uri in sorted(rows.inputFiles()) if places else []:
+        uris.setdefault(int(re.search(r"/block=(\d+)/", uri)[1]), []).append(uri)
+    rows = rows.drop("rare", "parity", "block")
     equal = rows.groupBy("digest").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).filter("a <> b").select("digest")
-    own = rows.select("digest", *[F.col("signs")[k].alias(f"s{k}") for k in range(4)]).distinct()
-    near = _in_many(rows.select("digest", "repo", F.explode("bands").alias("band")), max(often, 16 * rows.count() // 2000)).distinct().join(own, "digest")
-    near = staged(near, "files-near")
-    order = lambda salt: F.struct(F.xxhash64("repo", "band", F.lit(salt)).alias("o"), F.col("repo").alias("other"), F.col("digest").alias("like"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(4)])
-    some = near.filter("repo IS NOT NULL").groupBy("band").agg(F.array(*[f(order(salt)) for salt in (0, 1) for f in (F.min, F.max)]).alias("some"))
-    pairs = near.join(some.select("band", F.inline("some")), "band").filter("(repo IS NULL OR repo <> other) AND digest <> like")
-    pairs = pairs.filter(sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(4)), F.lit(0)) <= SIGN_BITS)
-    pairs = pairs.select("digest", "repo", "like").distinct().join(equal, "digest", "left_anti")
-    pairs = staged(pairs, "files-pairs")
+    pairs = staged(_near(uris, ends, spark), "files-pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sketch(text) for text in batch.column("content").to_pylist()]
-            sets = [np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32) for _, h in found]
-            yield pa.RecordBatch.from_arrays([pa.array([digest for digest, _ in found], pa.int64()), pa.array(sets, pa.list_(pa.int32()))], names=["digest", "shingles"])
+            sets = [np.unique(h).view(np.int64) for _, h in found]
+            yield pa.RecordBatch.from_arrays([pa.array([digest for digest, _ in found], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "shingles"])
 
     wanted = pairs.select("digest").union(pairs.select("like")).distinct()
     picked = rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("file_id", *where)).alias("m")).select("m.*")
@@ -373,38 +531,47 @@ def copies(scored: DataFrame, files: DataFrame, often: int = 50_000) -> DataFram
         texts = read_rows(row_vectors(files, picked.select(FILE, ROW)), files.select("content").schema)
     else:
         texts = files.filter("content IS NOT NULL").select("file_id", "content").join(picked, "file_id", "left_semi").select("content")
-    sets = staged(texts.mapInArrow(run, "digest long, shingles array<int>").dropDuplicates(["digest"]), "files-shingles")
-    both = pairs.join(sets, "digest").join(sets.select(F.col("digest").alias("like"), F.col("shingles").alias("others")), "like")
-    common = F.size(F.array_intersect("shingles", "others"))
-    alike = both.filter(common >= SAME * (F.size("shingles") + F.size("others") - common)).select("digest", "repo").distinct()
+    sets = staged(texts.mapInArrow(run, "digest long, shingles array<long>").dropDuplicates(["digest"]), "files-shingles")
+
+    def counted(some: DataFrame) -> DataFrame:
+        both = some.join(sets, "digest").join(sets.select(F.col("digest").alias("like"), F.col("shingles").alias("others")), "like")
+        common = F.size(F.array_intersect("shingles", "others"))
+        return both.filter(common >= SAME * (F.size("shingles") + F.size("others") - common) - 1e-6).select("digest", "low", "high", "whole")
+
+    # first the nearest other text of each; all others of the texts that this does not settle
+    first = pairs.groupBy("digest").agg(F.min(F.struct((~F.col("whole")).alias("part"), "far", "like", "low", "high", "whole")).alias("m")).select("digest", "m.like", "m.low", "m.high", "m.whole")
+    first = staged(counted(first), "files-nearest")
+    rest = counted(pairs.join(first.filter("whole").select("digest").distinct(), "digest", "left_anti"))
+    alike = first.union(rest)
     by_text = rows.join(equal, "digest", "left_semi").select("file_id")
-    by_part = rows.alias("r").join(alike.alias("a"), (F.col("r.digest") == F.col("a.digest")) & F.col("r.repo").eqNullSafe(F.col("a.repo")), "left_semi").select("file_id")
+    other = F.col("r.repo").isNull() | (F.col("a.low") != F.col("r.repo")) | (F.col("a.high") != F.col("r.repo"))
+    by_part = rows.alias("r").join(alike.alias("a"), (F.col("r.digest") == F.col("a.digest")) & other, "left_semi").select("file_id")
     return by_text.union(by_part).distinct()
 
 
-def seen_files(files: DataFrame) -> DataFrame:
-    """A row for each file with content, for fitting and recurrence: file_id, project, place (the path of a file without a project), label, digest, bands, signs; and, where
-    ``files`` is a plain Parquet scan, its place in the files."""
+def seen_files(files: DataFrame, counts: np.ndarray | None = None) -> DataFrame:
+    """A row for each file with content, for fitting and recurrence: file_id, project, place (the path of a file without a project), label, digest, n, rare, parity (``condensed``);
+    and, where ``files`` is a plain Parquet scan, its place in the files. ``counts``: ``shingle_counts``."""
     where = [FILE, ROW] if scanned(files) else []
+    shared = files.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, places, digests, keys, signs = [], [], [], [], []
+            labels, places, digests, short = [], [], [], []
             for path, project, text in zip(*(batch.column(c).to_pylist() for c in ("file_path", "project", "content"))):
                 labels.append(weak_label(path or "", project or "", text))
                 places.append(path if project is None else None)
                 digest, shingles = sketch(text)
-                own = _signature(shingles) if digest is not None else ([], [])
                 digests.append(digest)
-                keys.append(own[0])
-                signs.append(own[1])
+                short.append(condensed(shingles, shared.value) if digest is not None else (None, None, None))
+            n, rare, parity = zip(*short) if short else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file_id"), batch.column("project"), pa.array(places, pa.string()), pa.array(labels, pa.string()), pa.array(digests, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64())), *map(batch.column, where)],
-                names=["file_id", "project", "place", "label", "digest", "bands", "signs", *where],
+                [batch.column("file_id"), batch.column("project"), pa.array(places, pa.string()), pa.array(labels, pa.string()), pa.array(digests, pa.int64()), pa.array(n, pa.int32()), pa.array(rare, pa.binary()), pa.array(parity, pa.binary()), *map(batch.column, where)],
+                names=["file_id", "project", "place", "label", "digest", "n", "rare", "parity", *where],
             )
 
     rows = (with_position(files) if where else files).filter(F.col("content").isNotNull()).select("file_id", "project", "file_path", "content", *where)
-    return rows.mapInArrow(run, "file_id long, project string, place string, label string, digest long, bands array<long>, signs array<long>" + "".join(f", {c} long" for c in where))
+    return rows.mapInArrow(run, "file_id long, project string, place string, label string, digest long, n int, rare binary, parity binary" + "".join(f", {c} long" for c in where))
 
 
 def fit_on(files: DataFrame, seen: DataFrame, again: DataFrame, sample: int = SAMPLE, quota: int = QUOTA) -> tuple[Model, dict]:
@@ -446,7 +613,7 @@ def classified(files: DataFrame, sample: int = SAMPLE, quota: int = QUOTA) -> Da
     """A row for each file with content: file_id, project, kind ("hand" or one of KINDS), margin above the threshold, recurs."""
     from silverloom.session import staged
 
-    seen = staged(seen_files(files), "files-seen")
+    seen = staged(seen_files(files, shingle_counts(files)), "files-seen")
     again = staged(copies(seen, files), "files-again")
     model, _ = fit_on(files, seen, again, sample, quota)
     shared = files.sparkSession.sparkContext.broadcast(model)
