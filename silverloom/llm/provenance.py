@@ -71,10 +71,14 @@ _GENERATED_HEAD = re.compile(
 _FOREIGN_HEAD = re.compile(r"taken (unchanged|verbatim|with changes)? ?from \S+ v?\d|\(c\) .+ (and )?contributors|released under the|licensed under the .* see LICENSE|^[^\w\n]*+[\w.-]++ v\d+(\.\d+)+[^\S\n]*$", re.I | re.M)
 _LEADING = re.compile(r"(?>\s*)(?:#![^\n]*+\n)?(?>(?:\s*+(?:/\*.*?\*/|//[^\n]*+(?:\n|\Z)|\#[^\n]*+(?:\n|\Z)|\"\"\".*?\"\"\"|<!--.*?-->))*)", re.S)
 _OTHER_GIVEAWAYS = re.compile(r"sourceMappingURL[^\n]*|sourceURL=[^\n]*|@generated|DO NOT EDIT")
+_MARKS = ("sourceMappingURL", "sourceURL=", "@generated", "DO NOT EDIT")
 _STRING = re.compile(r"`[^`]*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _NUMBER = re.compile(r"[-+]?\d[\d_.,eExXa-fA-F]*")
 _CONSTANT = re.compile(r"\b(?:true|false|null|None|nil|True|False)\b")
 _BETWEEN = dict.fromkeys(map(ord, "[]{}(),:; \t\n\r\v\f"))
+#: Bytes that a constant or what stands between literals may have, and those of numbers besides; letters and signs beyond them stand in no literal.
+_MAYBE_CONSTANT = bytes(set(range(256)) - set(range(33, 127)) | set(b"[]{}(),:;truefalsnoiNTF"))
+_MAYBE_LITERAL = _MAYBE_CONSTANT + b"+-_.0123456789bcdxABCDEX"
 _BLANKS = re.compile(r"\s+")
 _LONG_LITERAL = re.compile(r"[\"'`][A-Za-z0-9+/=\\]{200,}[\"'`]")
 
@@ -95,7 +99,7 @@ def giveaways(path: str, project: str, text: str) -> Iterator[str]:
         yield "generated"
     if VENDOR_DIRS & set(parts[:-1]) or (_FOREIGN_HEAD.search(head) and not (project and project in head)):
         yield "third_party"
-    if len(body) > 200 and _literal_share(body) > 0.9:
+    if len(body) > 200 and _mainly_literal(body):
         yield "data"
 
 
@@ -111,25 +115,49 @@ def _told(path: str, project: str, text: str, kinds: set[str]) -> list[str]:
 
 def _literal_share(text: str) -> float:
     """Share of strings, numbers, constants and what stands between them."""
-    rest = _NUMBER.sub("", _STRING.sub(" ", text))
-    share = 1 - len(rest.translate(_BETWEEN)) / max(1, len(text))
-    return share if share > 0.9 or share < 0.5 else 1 - len(_CONSTANT.sub("", rest).translate(_BETWEEN)) / max(1, len(text))
+    return _share(_NUMBER.sub("", _STRING.sub(" ", text)), len(text))
+
+
+def _share(rest: str, size: int) -> float:
+    """The same from the text without strings and numbers."""
+    share = 1 - len(rest.translate(_BETWEEN)) / max(1, size)
+    return share if share > 0.9 or share < 0.5 else 1 - len(_CONSTANT.sub("", rest).translate(_BETWEEN)) / max(1, size)
+
+
+def _mainly_literal(text: str) -> bool:
+    """Whether the literal share is above 0.9. Most code is told by the letters and signs that stand in no literal, before constants, or numbers too, are looked for."""
+    rest, most = _STRING.sub(" ", text), 0.1 * len(text) + 1
+    if len(rest.encode("utf-8", "surrogatepass").translate(None, _MAYBE_LITERAL)) > most:
+        return False
+    rest = _NUMBER.sub("", rest)
+    if len(rest.encode("utf-8", "surrogatepass").translate(None, _MAYBE_CONSTANT)) > most:
+        return False
+    return _share(rest, len(text)) > 0.9
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+_MULT_7 = np.uint64(int(_MULT) ** 2 % (1 << 64))
+_DIGITS = bytes(48 if 48 <= i <= 57 else i for i in range(256))
+
+
 def _ngrams(text: str) -> np.ndarray:
     """Hashes of all character 4- and 7-grams; digits count as 0."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    if len(b) < 4:
-        return np.zeros(0, np.uint16)
-    b = np.where((b >= 48) & (b <= 57), np.uint8(48), b).astype(np.uint64)
-    four = b[:-3] | b[1:-2] << np.uint64(8) | b[2:-1] << np.uint64(16) | b[3:] << np.uint64(24)
-    seven = four[:-3] | four[3:] << np.uint64(24)  # two of them share a character
-    out = np.empty(len(four) + len(seven), np.uint16)
-    for part, at in ((four * _MULT, out[: len(four)]), (seven * _MULT * _MULT, out[len(four) :])):
-        at[:] = (part ^ part >> np.uint64(29)) * _MULT >> np.uint64(64 - BITS)
+    raw = text.encode("utf-8", "surrogatepass").translate(_DIGITS)
+    n = len(raw)
+    if n < 4:
+        return np.zeros(0, np.uint32)
+    raw += bytes(4)
+    four = np.ndarray(n - 3, "<u4", raw, 0, 1).astype(np.uint64)  # the bytes from each place on, as numbers
+    seven = np.ndarray(max(0, n - 6), "<u8", raw, 0, 1) & np.uint64((1 << 56) - 1)
+    out = np.empty(len(four) + len(seven), np.uint32)
+    for part, by, at in ((four, _MULT, out[: len(four)]), (seven, _MULT_7, out[len(four) :])):
+        part *= by
+        part ^= part >> np.uint64(29)
+        part *= _MULT
+        part >>= np.uint64(64 - BITS)
+        at[:] = part
     return out
 
 
@@ -140,6 +168,21 @@ def _firsts(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a sorted array has a new value, and how often it has it."""
+    first = _firsts(a)
+    times = np.empty_like(first)
+    np.subtract(first[1:], first[:-1], out=times[:-1])
+    times[-1:] = len(a) - first[-1:]
+    return first, times
+
+
+def _distinct(a: np.ndarray) -> np.ndarray:
+    """The different values, sorted (``np.unique`` takes five times as long for a short array)."""
+    a = np.sort(a)
+    return a[_firsts(a)]
+
+
 @lru_cache(1 << 16)
 def _hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) >> (64 - BITS)
@@ -154,12 +197,15 @@ def _path_tokens(path: str, project: str) -> list[str]:
 
 def features(path: str, project: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values: each n-gram of the text without its leading comment by the root of its share (so that they have length 1), each path token by 1."""
-    grams = np.sort(_ngrams(_OTHER_GIVEAWAYS.sub("", text[len(head_of(text)) :])), kind="stable")  # a radix sort, as there are 2 ** 16 hashes
-    first = _firsts(grams)
-    count = np.diff(first, append=len(grams))
-    tokens = np.unique(np.array([_hash(t) for t in _path_tokens(path, project)], np.int64))
-    idx = np.concatenate([grams[first], tokens + DIM]).astype(np.int32)
-    return idx, np.concatenate([np.sqrt(count / max(1, len(grams))), np.ones(len(tokens))]).astype(np.float32)
+    body = text[len(head_of(text)) :]
+    grams = np.sort(_ngrams(_OTHER_GIVEAWAYS.sub("", body) if any(m in body for m in _MARKS) else body))
+    first, count = _runs(grams)
+    tokens = sorted({_hash(t) for t in _path_tokens(path, project)})
+    idx, val = np.empty(len(first) + len(tokens), np.int32), np.ones(len(first) + len(tokens), np.float32)
+    idx[: len(first)] = grams[first]
+    idx[len(first) :] = [t + DIM for t in tokens]
+    val[: len(first)] = np.sqrt(count / max(1, len(grams)))
+    return idx, val
 
 
 RECURS, BIAS = 2 * DIM, 2 * DIM + 1
@@ -174,7 +220,7 @@ class Model:
     def margins(self, path: str, project: str, text: str) -> np.ndarray:
         """Of a file that does not recur; one that does has the weights of RECURS on top."""
         idx, val = features(path, project, text)
-        return val @ self.weights[idx] + self.weights[BIAS]
+        return val @ self.weights.take(idx, axis=0) + self.weights[BIAS]
 
 
 def _fit(xs: list, y: np.ndarray, lam: float, epochs: int = 6, seed: int = 7) -> np.ndarray:
@@ -189,7 +235,7 @@ def _fit(xs: list, y: np.ndarray, lam: float, epochs: int = 6, seed: int = 7) ->
             step += 1
             eta = 1.0 / (lam * (step + 1.0 / lam))
             idx, val = xs[i]
-            short = y[i] * scale * (val @ w[idx]) < 1
+            short = y[i] * scale * (val @ w.take(idx, axis=0)) < 1
             scale *= 1.0 - eta * lam
             g = np.where(short, gain[i], 0.0)
             if g.any():
@@ -219,7 +265,7 @@ def train(rows: list[tuple[str, str, bool, np.ndarray, np.ndarray]]) -> tuple[Mo
     there, best = np.flatnonzero(validation), None
     for lam in (3e-4, 1e-3, 3e-3):
         w = _fit([xs[i] for i in np.flatnonzero(~validation)], y[~validation], lam)
-        margins = np.array([xs[i][1] @ w[xs[i][0]] for i in there])
+        margins = np.array([xs[i][1] @ w.take(xs[i][0], axis=0) for i in there])
         loss = np.where(y[there] != 0, np.maximum(0, 1 - y[there] * margins), 0).mean()
         if best is None or loss < best[0]:
             best = (loss, lam, margins)
@@ -244,6 +290,7 @@ _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _CLASS = np.full(256, 2, np.uint8)  # 0 white space, 1 letters, digits and all beyond ASCII, 2 signs
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = 1
+_CLASSES = _CLASS.tobytes()
 
 
 @lru_cache(8)
@@ -256,18 +303,17 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of every word and every sign, from running sums over the bytes."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(b):
+    raw = text.encode("utf-8", "surrogatepass")
+    if not raw:
         return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(12, (len(b) + 1).bit_length()))
-    cls = _CLASS[b]
-    sign, word = cls == 2, cls == 1
-    opens, closes = word.copy(), word.copy()
-    opens[1:] &= ~word[:-1]
-    closes[:-1] &= ~word[1:]
-    start, end = np.flatnonzero(sign | opens), np.flatnonzero(sign | closes) + 1
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], dtype=np.uint64, out=total[1:])
+    up, down = _powers(1 << max(12, (len(raw) + 1).bit_length()))
+    cls = np.frombuffer(b"\0" + raw.translate(_CLASSES) + b"\0", np.uint8)
+    inside = cls[1:] & cls[:-1] & 1  # between two bytes of a word
+    start, end = np.flatnonzero(cls[1:-1] > inside[:-1]), np.flatnonzero(cls[1:-1] > inside[1:]) + 1
+    total = np.zeros(len(raw) + 1, np.uint64)
+    b = np.frombuffer(raw, np.uint8) + np.uint64(1)
+    b *= up[: len(raw)]
+    np.cumsum(b, out=total[1:])
     h = (total[end] - total[start]) * down[start] * _MIX
     return h ^ (h >> np.uint64(31))
 
@@ -357,7 +403,7 @@ def _rare_size(n):
 
 def condensed(shingles: np.ndarray, counts: np.ndarray | None) -> tuple[int, bytes, bytes]:
     """The number of different shingles, the upper halves of the rarest ones, and the parities of all in a bitmap of two to four bits a shingle."""
-    h = np.unique(shingles)
+    h = _distinct(shingles)
     n = len(h)
     rare = h if counts is None else h[np.argsort(counts[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")]
     size = 1 << max(6, (2 * n - 1).bit_length())
@@ -373,7 +419,7 @@ def shingle_counts(files: DataFrame) -> np.ndarray:
         total = np.zeros(1 << COUNTER_BITS, np.int32)
         for batch in batches:
             for text in batch.column("content").to_pylist():
-                np.add.at(total, (np.unique(sketch(text)[1]) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+                np.add.at(total, (_distinct(sketch(text)[1]) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int32())], names=["at", "n"])
 
@@ -385,7 +431,7 @@ def shingle_counts(files: DataFrame) -> np.ndarray:
 
 
 class _Block:
-    """Texts of like size: digests, sizes, repositories and sorted rare shingles with their owners. Copies of a text are merged."""
+    """Texts of like size: digests, sizes, repositories and the sorted rare shingles, each with its owners. Copies of a text are merged."""
 
     def __init__(self, uris: list[str]):
         t = pa.concat_tables([_open(uri).read(columns=["digest", "repo", "n", "rare", "parity"]) for uri in uris])
@@ -403,28 +449,38 @@ class _Block:
         picked = t.select(["rare", "parity"]).take(pa.array(at))
         rare = [np.frombuffer(x, np.uint32) for x in picked["rare"].to_pylist()]
         self.kept = np.array([len(x) for x in rare])
-        tokens, owners = np.concatenate(rare), np.repeat(np.arange(len(at)), self.kept)
-        order = np.argsort(tokens, kind="stable")
-        self.tokens, self.owners = tokens[order], owners[order]
+        rows = np.sort(np.concatenate(rare).astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(at), dtype=np.uint64), self.kept))
+        tokens, self.owners = (rows >> np.uint64(32)).astype(np.uint32), (rows & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.first, self.times = _runs(tokens)
+        self.tokens = tokens[self.first]
         self.parity = picked["parity"].to_pylist()
+        self.bytes = np.array([len(p) for p in self.parity])
 
     def common(self, other: "_Block") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs with rare shingles in common, and how many these are at most."""
-        low = np.searchsorted(self.tokens, other.tokens, "left")
-        times = np.searchsorted(self.tokens, other.tokens, "right") - low
-        has = np.flatnonzero(times)
-        low, times, owners = low[has], times[has], other.owners[has]
+        at = np.minimum(np.searchsorted(self.tokens, other.tokens), len(self.tokens) - 1)
+        both = self.tokens[at] == other.tokens
+        owners = other.owners[np.repeat(both, other.times)]
+        low, times = (np.repeat(x[at[both]], other.times[both]) for x in (self.first, self.times))
         width, done = len(other.digest), np.cumsum(times)
-        total = np.zeros(len(self.digest) * width, np.int64)
-        a = 0
-        while a < len(has):
-            b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + BLOCK_PAIRS, "right")))
+
+        def keys(a: int, b: int) -> np.ndarray:
             t = times[a:b]
             mine = self.owners[np.repeat(low[a:b] - (np.cumsum(t) - t), t) + np.arange(t.sum())]
-            total += np.bincount(mine * width + np.repeat(owners[a:b], t), minlength=len(total))
+            return mine * width + np.repeat(owners[a:b], t)
+
+        if not len(times) or done[-1] <= BLOCK_PAIRS:
+            key = np.sort(keys(0, len(times)))
+            first, n = _runs(key)
+            key = key[first]
+            return key // width, key % width, n
+        total, a = np.zeros(len(self.digest) * width, np.int32), 0
+        while a < len(times):
+            b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + BLOCK_PAIRS, "right")))
+            total += np.bincount(keys(a, b), minlength=len(total)).astype(np.int32)
             a = b
         key = np.flatnonzero(total)
-        return key // width, key % width, total[key]
+        return key // width, key % width, total[key].astype(np.int64)
 
     def asks(self, x: np.ndarray, other: "_Block", y: np.ndarray) -> np.ndarray:
         """Whether a row of the text x recurs if the text y of the other block is like it."""
@@ -435,11 +491,13 @@ class _Block:
         x, y, m = self.common(other)
         a, b = self.size[x], other.size[y]
         need = _least_common(a, b)
-        ok = (np.minimum(a, b) >= need) & (m + np.maximum(a - self.kept[x], b - other.kept[y]) >= need) & (self.asks(x, other, y) | other.asks(y, self, x))
+        ok = (np.minimum(a, b) >= need) & (m + np.maximum(a - self.kept[x], b - other.kept[y]) >= need)
         if other is self:
             ok &= x < y
         x, y, differ = x[ok], y[ok], (a + b - 2 * need)[ok]
-        lengths = np.array([len(p) for p in self.parity])[x], np.array([len(p) for p in other.parity])[y]
+        ok = self.asks(x, other, y) | other.asks(y, self, x)
+        x, y, differ = x[ok], y[ok], differ[ok]
+        lengths = self.bytes[x], other.bytes[y]
         for la, lb in set(zip(lengths[0].tolist(), lengths[1].tolist())):
             of = np.flatnonzero((lengths[0] == la) & (lengths[1] == lb))
             step = max(1, (1 << 23) // max(la, lb))
@@ -522,7 +580,7 @@ def copies(scored: DataFrame, files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sketch(text) for text in batch.column("content").to_pylist()]
-            sets = [np.unique(h).view(np.int64) for _, h in found]
+            sets = [_distinct(h).view(np.int64) for _, h in found]
             yield pa.RecordBatch.from_arrays([pa.array([digest for digest, _ in found], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "shingles"])
 
     wanted = pairs.select("digest").union(pairs.select("like")).distinct()
